@@ -1,10 +1,53 @@
-"""A training-data pipeline: its stages, each an operator of mirepoix.llm applied to what the one before it kept."""
+"""A training-data pipeline: its stages, each an operator of mirepoix.llm applied to what the one before it kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes to the shared folder and reads
+again as the docs of the next. All but the last return the columns of docs; rows with the same doc_id share their
+fate, null doc_ids included. ORACLE_SQL is None: SQL expresses none of the stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mirepoix.llm import packing, quality, simhash, toxicity
+from mirepoix.llm.common import settled, table
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in keys; the keys' own columns don't reach the result."""
+    return docs.join(keys.select(F.col("doc_id").alias("kept__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept__id")), "left_semi")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labelled ones among them, doesn't take for toxic."""
+    return toxicity.sifted(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of enough and not too repetitive words whose perplexity is within their language's bands."""
+    return _kept(docs, quality.judged(docs).where("kept"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id."""
+    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return _kept(docs, found)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in training sequences."""
+    return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+STAGES = [("toxicity", drop_toxic), ("quality rules", drop_low_quality), ("simhash near-dedup", drop_near_duplicates), ("best-fit packing", pack_sequences)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = settled(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
