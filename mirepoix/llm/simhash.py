@@ -8,9 +8,10 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mirepoix.llm.blocks import in_blocks
 from mirepoix.llm.common import settled, unsigned_hex
 from mirepoix.llm.components import connected_components
 
@@ -196,36 +197,16 @@ def hamming_links(fps: DataFrame, radius: int = 3, shard_rows: int = 2048, sampl
 
 
 def _joined(rows: DataFrame, radius: int, bits: int, cap: int) -> DataFrame:
-    sizes = rows.groupBy("shard").agg(F.sum(F.when(F.col("role") == 2, 1).otherwise(0)).alias("homes"), F.sum(F.when(F.col("role") == 0, 1).otherwise(0)).alias("guests"))
-    chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / cap)).cast("int")
-    large = sizes.where(F.greatest("homes", "guests") > cap).select("shard", chunks("homes").alias("kh"), chunks("guests").alias("kg"))
-    marked = rows.join(large, "shard", "left")
-    chunk = lambda k: F.pmod(F.xxhash64("fp", F.lit(3)), F.col(k)).cast("int")
-    blocks = (
-        F.when(F.col("kh").isNull(), F.array(_block(F.lit(0), F.lit(0), F.col("role"))))
-        .when(F.col("role") == 0, F.transform(F.sequence(F.lit(0), F.col("kh") - 1), lambda i: _block(F.col("kh") + chunk("kg"), i, F.lit(0))))
-        .otherwise(
-            F.concat(
-                F.transform(F.sequence(F.lit(0), F.col("kh") - 1), lambda j: _block(F.least(j, chunk("kh")), F.greatest(j, chunk("kh")), F.when(j == chunk("kh"), 2).when(j > chunk("kh"), 0).otherwise(1))),
-                F.transform(F.sequence(F.lit(0), F.col("kg") - 1), lambda g: _block(F.col("kh") + g, chunk("kh"), F.lit(1))),
-            )
-        )
-    )
-    placed = marked.select("shard", "fp", F.inline(blocks))
-
     def joined(group: pa.Table) -> pa.Table:
         t = group.column("shard")[0].as_py() % 2
         fps = np.array(group.column("fp")).view(np.uint64)
         a, b = local_links(fps, np.array(group.column("role")), 32 * t, bits, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
+    placed = in_blocks(rows, ["shard"], "fp", cap)
     return placed.groupBy("shard", "i", "j").applyInArrow(joined, "a long, b long")
 
 
-def _block(i: Column, j: Column, role: Column) -> Column:
-    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), role.cast("byte").alias("role"))
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row: component_id is the smallest doc_id that links of at most
     `radius` differing bits reach, its own included.
