@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mirepoix.llm import bpe, embeddings, packing, quality, sharding, simhash, toxicity, urlfilter
+from mirepoix.llm import bpe, embeddings, lmscore, packing, quality, sharding, simhash, tokencount, toxicity, urlfilter
 from mirepoix.llm.common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,16 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages"))
 
 
+@_query
+def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.document_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 @_query
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
