@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mirepoix.plans import registry
+from mirepoix.plans import nutrition, registry
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
