@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mirepoix.functions import scoring
 from mirepoix.operators import rollup
 from mirepoix.plans.registry import query
-from mirepoix.plans.tables import LINES, REGIONS, SCORES, lines, regions, scores, table
+from mirepoix.plans.tables import LINES, REGIONS, SCORES, lines, regions, scores, steady, table
 
 
 def _sql_points(value: str, thresholds) -> str:
@@ -53,13 +53,13 @@ def profile_rollup(spark, sf_dir):
     f"""{_TOTALS}, given AS (SELECT per.*, CAST(p.n AS DOUBLE) AS parsed FROM per LEFT JOIN (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 90 AS n FROM orders) p ON item_id = o_orderkey),
 s AS (SELECT *, CASE WHEN parsed BETWEEN 1 AND 50 THEN round_even(parsed, 0) WHEN total_weight_g > 0 AND total_weight_g <= 7200 THEN greatest(1.0, least(16.0, round_even(total_weight_g / 450, 0)))
   WHEN total_weight_g > 0 THEN 4.0 ELSE 1.0 END AS serves, CASE WHEN parsed BETWEEN 1 AND 50 THEN 'given' ELSE 'estimated' END AS serves_source FROM given)
-SELECT item_id, CAST(serves AS DOUBLE) AS serves, serves_source, round(energy_kcal / serves, 4) AS kcal_per_serving, round(fat_g / serves, 4) AS fat_per_serving FROM s""",
+SELECT item_id, CAST(serves AS DOUBLE) AS serves, serves_source, floor(energy_kcal / serves * 1000 + 0.3) / 1000 AS kcal_per_serving, floor(fat_g / serves * 1000 + 0.3) / 1000 AS fat_per_serving FROM s""",
 )
 def profile_per_serving(spark, sf_dir):
     parsed = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), (F.floor("o_totalprice") % 90).cast("double").alias("parsed"))
     count, source = scoring.serves(F.col("parsed"), F.col("total_weight_g"))
     rows = _profiles(spark, sf_dir).join(parsed, "item_id", "left").select("*", count.alias("serves"), source.alias("serves_source"))
-    per = lambda c: F.round(scoring.per_serving(F.col(c), F.col("serves")), 4)
+    per = lambda c: steady(scoring.per_serving(F.col(c), F.col("serves")), 3)
     return rows.select("item_id", "serves", "serves_source", per("energy_kcal").alias("kcal_per_serving"), per("fat_g").alias("fat_per_serving"))
 
 
@@ -235,9 +235,9 @@ def regional_coverage(spark, sf_dir):
 @query(
     "offender_share",
     f"""WITH {LINES}, c AS (SELECT item_id, food_id, sum(weight_g / 100 * fat_g) AS fat FROM lines GROUP BY item_id, food_id)
-SELECT item_id, food_id, round(fat / nullif(sum(fat) OVER (PARTITION BY item_id), 0), 4) AS share, row_number() OVER (PARTITION BY item_id ORDER BY round(fat, 6) DESC, food_id) AS contribution_rank FROM c""",
+SELECT item_id, food_id, CAST(floor(fat / nullif(sum(fat) OVER (PARTITION BY item_id), 0) * 1000000 + 0.3) AS BIGINT) AS share_ppm, row_number() OVER (PARTITION BY item_id ORDER BY round(fat, 6) DESC, food_id) AS contribution_rank FROM c""",
 )
 def offender_share(spark, sf_dir):
     rows = lines(spark, sf_dir).groupBy("item_id", "food_id").agg(F.sum(F.col("weight_g") / 100 * F.col("fat_g")).alias("fat")).withColumn("fat", F.round("fat", 6))
     ranked = rollup.contribution_shares(rows, "item_id", "fat", ["food_id"])
-    return ranked.select("item_id", "food_id", F.round("share", 4).alias("share"), "contribution_rank")
+    return ranked.select("item_id", "food_id", F.floor(F.col("share") * 1_000_000 + 0.3).alias("share_ppm"), "contribution_rank")

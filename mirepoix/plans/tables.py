@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,8 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SCORES = f"""{REGIONS}, scores AS (SELECT l_orderkey AS item_id, region, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 40 - 10 AS INT) AS score,
   l_shipdate AS updated_at FROM lineitem JOIN regions ON l_suppkey = source_id)"""
+
+
+def steady(value: Column, digits: int) -> Column:
+    """value cut to digits away from halves, so that sums in another order give the same; in SQL floor(x * 10^d + 0.3) / 10^d."""
+    return F.floor(value * 10**digits + 0.3) / 10**digits
