@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mirepoix.plans import nutrition, registry
+from mirepoix.plans import graphs, nutrition, registry, reports
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
