@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mirepoix.plans import graphs, nutrition, registry, reports
+from mirepoix.plans import adaptation, graphs, matching, nutrition, registry, reports, searches, sync, texts
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
