@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from mirepoix.functions import text as T
 from mirepoix.operators.report import top_n
@@ -118,7 +119,7 @@ def verdict(score: Column, similarity: Column, overlap: Column, least: float) ->
     return F.when(score < 0.30, "none").when(strong, "strong").otherwise("weak")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The Ratcliff-Obershelp similarity of two strings: twice the matching characters over all of them; null for null."""
     from difflib import SequenceMatcher
