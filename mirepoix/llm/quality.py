@@ -179,6 +179,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             rows = rows.withColumn("short", F.col("gram").bitwiseAND((1 << _BITS * (k - 1)) - 1)).join(below, ["lang", "short"])
             lower = F.col("p_short")
         rows = rows.withColumn("p", (F.col("c") - F.col("d")) / F.col("all") + F.col("left") * lower)
+        # the order above and the result read this one several times: unsettled, the plan would double with each order
+        rows = settled(rows.select("lang", "gram", "h", "left", "p"), f"order-{k}")
         contexts[k] = rows.groupBy("lang", F.col("h").alias("gram")).agg(F.max("left").alias("left"))
         part = rows.select("lang", F.lit(k).alias("n_order"), "gram", F.log("p").alias("logp"))
         model = part if model is None else model.union(part)
@@ -223,17 +225,18 @@ class Language:
 
 def sorted_arrays(model: DataFrame) -> dict[str, Language]:
     rows = model.toArrow()
-    langs, orders = np.array(rows.column("lang").to_pylist()), np.array(rows.column("n_order"))
+    langs, orders = rows.column("lang").dictionary_encode().combine_chunks(), np.array(rows.column("n_order"))
     grams = np.array(rows.column("gram"))
     logp, logb = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in ("logp", "logb"))
     out = {}
-    for name in np.unique(langs):
+    codes = langs.indices.to_numpy()
+    for code, name in enumerate(langs.dictionary.to_pylist()):
         parts = []
         for k in range(ORDER + 1):
-            here = np.flatnonzero((langs == name) & (orders == k))
+            here = np.flatnonzero((codes == code) & (orders == k))
             here = here[np.argsort(grams[here])]
             parts.append((grams[here].astype(np.uint32), logp[here], logb[here]))
-        out[str(name)] = Language(*map(list, zip(*parts)))
+        out[name] = Language(*map(list, zip(*parts)))
     return out
 
 
