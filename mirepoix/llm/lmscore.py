@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.llm.common import settled
-from mirepoix.llm.quality import ORDER, _streams, kneser_ney, ngram_counts, sorted_arrays
+from mirepoix.llm.quality import _SYMBOLS, _streams, kneser_ney, ngram_counts, sorted_arrays
 
 TARGET, BACKGROUND = "target", "background"
 
@@ -39,7 +39,7 @@ def scored(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = [shared.value.get(s) for s in (TARGET, BACKGROUND)]
-        uniform = ORDER and float(np.log(128))
+        uniform = float(np.log(_SYMBOLS))
         for whole in stream:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
@@ -63,5 +63,6 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, doc_id: str = "
     No such document: the target model is uniform over the symbols.
     """
     good = labels.where(F.col(label) == 1).select(F.col(doc_id).alias("good__id"))
-    target = docs.join(good, F.col(doc_id) == F.col("good__id"), "left_semi")
+    # labels grow with the corpus: the ids of a partition are hashed there, at every size; texts are not sorted
+    target = docs.join(good.hint("shuffle_hash"), F.col(doc_id) == F.col("good__id"), "left_semi")
     return scored(docs, models(target, docs, text), doc_id, text)
