@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mirepoix.llm.common import settled
 from mirepoix.llm.packing import byte_encoding
 
 END_ID = 50256
@@ -88,7 +89,8 @@ def document_lengths(blocks: DataFrame, end_id: int = END_ID, dtype: str = "<u2"
                 ends.append(np.flatnonzero(ids == end_id))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(tokens, pa.int64()), pa.array(ends, pa.list_(pa.int64())), *batch.columns[3:]], names=["file", "block", "tokens", "ends", *(["names"] if names else [])])
 
-    found = blocks.select("file", "block", "payload", *extra).mapInArrow(batches, f"file {kind}, block long, tokens long, ends array<long>{name_type}")
+    # what the scan found is read several times below; the tokens themselves are read once
+    found = settled(blocks.select("file", "block", "payload", *extra).mapInArrow(batches, f"file {kind}, block long, tokens long, ends array<long>{name_type}"), "ends")
     scanned = _prefix(found.withColumn("n_ends", F.size("ends")), run)
     keep = ["names"] if names else []
     # the end before a block's first: the last one of the blocks before it
