@@ -268,20 +268,38 @@ def measured(docs: DataFrame, models: dict[str, Language] | None, doc_id: str =
     return rows.mapInArrow(batches, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in names)}, entropy double")
 
 
+def shorter_half(bins: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """(middle, half of the width) of the narrowest run of the sorted bins with over half of their n rows; the lowest of equal ones."""
+    upto = np.cumsum(n)
+    ends = np.searchsorted(upto, upto - n + upto[-1] // 2 + 1)
+    starts = np.flatnonzero(ends < len(bins))
+    width = bins[ends[starts]] - bins[starts] + 1
+    best = np.argmin(width)
+    return bins[starts[best]] + width[best] / 2, width[best] / 2
+
+
 def bands(entropies: DataFrame, spread: float, least: int = 20) -> DataFrame:
-    """(lang, low, high): the median of a language's entropies, `spread` times their upper and lower quartiles' way from it.
+    """(lang, low, high): the middle of a language's entropies, `spread` times half the width of their shorter half to either side.
 
-    Both quartiles are read off a histogram with steps of 0.002 of all documents' entropies. A language of fewer than
-    `least` documents has no bands: its quartiles say nothing.
+    The shorter half is the narrowest interval with over half of the rows, read off a histogram with steps of 0.002 of
+    all of them: rows elsewhere, up to nearly half of all, neither move its middle far nor widen it much. A language
+    of n rows, fewer than `least`, has a middle of its own, but the mean width of the other languages' rows if its own is
+    less, times the root of least / n: it is known the less exactly the fewer rows there are.
     """
     step = 0.002
+
+    def halves(group: pa.Table) -> pa.Table:
+        group = group.sort_by("bin")
+        n = np.array(group.column("n"))
+        middle, way = shorter_half(np.array(group.column("bin")), n)
+        return pa.table({"lang": group.column("lang")[:1], "n": [int(n.sum())], "middle": [middle * step], "way": [way * step]})
+
     bins = entropies.where("entropy is not null").groupBy("lang", F.floor(F.col("entropy") / step).alias("bin")).agg(F.count("*").alias("n"))
-    upto = W.partitionBy("lang").orderBy("bin")
-    share = bins.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(W.partitionBy("lang"))).where(F.col("total") >= least)
-    at = lambda q: ((F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bin"))) + 0.5) * step)
-    quarters = share.groupBy("lang").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
-    way = lambda a, b: F.greatest(F.col(a) - F.col(b), F.lit(step)) * spread
-    return quarters.select("lang", (F.col("q2") - way("q2", "q1")).alias("low"), (F.col("q2") + way("q3", "q2")).alias("high"))
+    own = bins.groupBy("lang").applyInArrow(halves, "lang string, n long, middle double, way double")
+    enough = F.col("n") >= least
+    usual = own.agg((F.sum(F.when(enough, F.col("way") * F.col("n"))) / F.sum(F.when(enough, F.col("n")))).alias("usual"))
+    way = F.when(enough, F.col("way")).otherwise(F.greatest("way", "usual") * F.sqrt(least / F.col("n"))) * spread
+    return own.crossJoin(F.broadcast(usual)).select("lang", (F.col("middle") - way).alias("low"), (F.col("middle") + way).alias("high"))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -312,15 +330,16 @@ def entropies_by_join(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id",
     return grams.join(top, ["lang", "gram"], "left").groupBy("doc_id").agg(F.round(F.sum(cost) / F.sum("n"), 5).alias("entropy"))
 
 
-def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", spread: float = 8.0, most_entries: int = 4_000_000) -> DataFrame:
+def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", spread: float = 6.0, most_entries: int = 4_000_000) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, entropy, low, high, kept) for each row.
 
     Words lie between ASCII white space. word_chars: code points in words; n_symbols: characters of #*$%&|<>;
     n_dup_lines: lines with a word that equal an earlier line; n_repeat_words: words in three-word windows found twice
     or more. base_failed: under 50 words, or over half of them repeated. Others are kept if the entropy (log of the
-    perplexity) of their characters, in the model of all documents of their language, is within the language's bands.
-    A null lang is a language of its own, a language of fewer than 20 documents has no bands. A null text has no
-    words, so it fails. Null and repeated doc_ids keep their rows, other columns are ignored, no rows give no rows.
+    perplexity) of their characters, in the model of all documents of their language, is within the language's bands,
+    which are taken from the documents that don't fail (see `bands`). A null lang is a language of its own; a language
+    without such documents has no bands, and none to keep. A null text has no words, so it fails. Null and repeated
+    doc_ids keep their rows, other columns are ignored, no rows give no rows.
 
     The model of all languages goes to executors as sorted arrays, at most `most_entries` of them (16 bytes each); a
     larger one is joined with the documents' n-grams.
@@ -335,8 +354,8 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
         base = measured(own.withColumn("doc_id", F.struct("row", "doc_id")), None)
         rows = base.drop("entropy").withColumns({"row": F.col("doc_id.row"), "doc_id": F.col("doc_id.doc_id")}).join(joined, "row", "left").drop("row")
         rows = settled(rows, "measured")
-    limits = F.broadcast(bands(rows, spread))  # a row for each language
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
+    limits = F.broadcast(bands(rows.where(~failed), spread))  # a row for each language
     inside = F.coalesce(F.col("entropy").between(F.col("low"), F.col("high")), F.lit(True))
     return rows.join(limits, "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "entropy", "low", "high", (~failed & inside).alias("kept")

@@ -112,3 +112,35 @@ def test_unseen_grams_back_off(spark):
 
 def test_empty_table(spark):
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def banded(spark, rows):
+    found = quality.bands(spark.createDataFrame(rows, "lang string, entropy double"), 6.0).collect()
+    return {r.lang: (r.low, r.high) for r in found}
+
+
+def test_a_third_of_junk_stays_outside_the_bands(spark):
+    rng = np.random.default_rng(4)
+    clean = rng.normal(1.5, 0.02, 2000)
+    rows = [(lang, float(e)) for lang, at in (("high", 1.9), ("low", 1.1)) for e in (*clean, *rng.normal(at, 0.05, 1000))]
+    for lang, (low, high) in banded(spark, rows).items():
+        e = np.array([x for name, x in rows if name == lang])
+        inside = (e >= low) & (e <= high)
+        assert inside[:2000].mean() > 0.99 and inside[2000:].mean() < 0.01, lang
+
+
+def test_few_documents_have_bands_as_wide_as_usual(spark):
+    rng = np.random.default_rng(5)
+    rows = [("en", float(e)) for e in rng.normal(1.5, 0.02, 500)] + [("rare", e) for e in (1.0, 1.01, 1.02, 1.03, 1.06, 1.9)] + [("one", 0.7)]
+    got = banded(spark, rows)
+    assert got["rare"][0] < 1.0 and 1.06 < got["rare"][1] < 1.9 and got["one"][0] < 0.7 < got["one"][1]
+    assert banded(spark, rows[-1:])["one"][0] < 0.7 < banded(spark, rows[-1:])["one"][1]
+
+
+def test_documents_that_fail_base_rules_do_not_move_the_bands(spark):
+    junk = [(1000 + k, " ".join(f"{c}{k}" for c in "#!?Qxz|~"), "de") for k in range(90)]
+    found = quality.judged(spark.createDataFrame(corpus() + junk, "doc_id long, text string, lang string")).collect()
+    german = [r for r in found if r.doc_id >= 5 and r.low is not None and (r.doc_id % 2 or r.doc_id >= 1000)]
+    assert all(r.base_failed for r in german if r.doc_id >= 1000)
+    low, high = banded(spark, [("de", r.entropy) for r in german if not r.base_failed])["de"]
+    assert all((r.low, r.high) == pytest.approx((low, high)) for r in german)
