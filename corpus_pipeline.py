@@ -1,8 +1,8 @@
 """A training-data pipeline: its stages, each an operator of mirepoix.llm applied to what the one before it kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which `run` writes to the shared folder and reads
-again as the docs of the next. All but the last return the columns of docs; rows with the same doc_id share their
-fate, null doc_ids included. ORACLE_SQL is None: SQL expresses none of the stages.
+again as the docs of the next. All but the last return the columns of docs. Each row is kept or dropped for itself:
+null and repeated doc_ids don't share their fate. ORACLE_SQL is None: SQL expresses none of the stages.
 """
 
 from __future__ import annotations
@@ -17,9 +17,14 @@ from mirepoix.llm.common import settled, table
 ORACLE_SQL = None
 
 
-def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in keys; the keys' own columns don't reach the result."""
-    return docs.join(keys.select(F.col("doc_id").alias("kept__id")).distinct(), F.col("doc_id").eqNullSafe(F.col("kept__id")), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of each row in `kept__row`, written once, so that every later read has the same numbers."""
+    return settled(docs.withColumn("kept__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _kept(numbered: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of numbered whose number is in rows, a column of numbers without repeats; the number is dropped."""
+    return numbered.join(rows.toDF("kept__row"), "kept__row", "left_semi").drop("kept__row")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +34,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of enough and not too repetitive words whose perplexity is within their language's bands."""
-    return _kept(docs, quality.judged(docs).where("kept"))
+    numbered = _numbered(docs)
+    return _kept(numbered, quality.judged(numbered, doc_id="kept__row").where("kept").select("doc_id"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id."""
-    found = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return _kept(docs, found)
+    """Of each group of near-duplicates one row, that with the smallest doc_id, nulls last; of equal ids the first row."""
+    numbered = _numbered(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("kept__row").alias("row"))
+    found = simhash.near_duplicates(numbered.withColumn("kept__key", key), doc_id="kept__key")
+    return _kept(numbered, found.where("doc_id.row = component_id.row").select("doc_id.row"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,15 @@ def test_each_stage_drops_what_its_operator_says(spark, tmp_path):
     assert len(set(ids(docs)) & {1, *range(1000, 1030)}) == 1
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted({r.doc_id for r in whole.collect()}) == ids(docs)
+
+
+def test_null_and_repeated_ids_are_kept_by_row(spark):
+    rng = random.Random(3)
+    text = lambda n=80: " ".join(rng.choice("bcdfgl") + rng.choice(["alba", "coro", "der", "mint"]) + rng.choice("aeiou") for _ in range(n))
+    one, two, three = text(), text(), text()
+    data = [(None, one), (None, "short"), (None, one), (7, two), (7, two), (7, three), (3, three), (None, two), *((i, text()) for i in range(100, 160))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in data], "doc_id long, text string, lang string")
+    passed = [(r.doc_id, r.text) for r in corpus_pipeline.drop_low_quality(spark, docs, "").collect()]
+    assert (None, "short") not in passed and passed.count((None, one)) == 2 and passed.count((7, two)) == 2
+    left = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert sorted(left, key=str) == sorted([(None, one), (None, "short"), (7, two), (3, three), *data[8:]], key=str)
