@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.llm.common import settled
-from mirepoix.llm.quality import _SYMBOLS, _streams, kneser_ney, ngram_counts, sorted_arrays
+from mirepoix.llm.quality import _BITS, _SYMBOLS, ORDER, _streams, kneser_ney, ngram_counts, sorted_arrays
 
 TARGET, BACKGROUND = "target", "background"
 
@@ -30,11 +30,11 @@ def scored(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str
     Tokens are a text's symbols; a loss is the mean of their negative log probabilities; score is the mean of each
     token's target loss less its background loss: the lower, the more like the target (Moore and Lewis, 2010). A null
     or empty text has no tokens and null losses. Null and repeated doc_ids keep their rows; other columns are ignored.
-    Models of over `most_entries` n-grams are too large to send to executors whole and are refused: count them at a
-    lower order.
+    Models of over `most_entries` n-grams are too large to send to executors whole: they are joined with the
+    documents' n-grams.
     """
     if model.count() > most_entries:
-        raise ValueError(f"the models have over {most_entries} n-grams")
+        return _scored_by_join(docs, model, doc_id, text)
     shared = docs.sparkSession.sparkContext.broadcast(sorted_arrays(model))
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +57,40 @@ def scored(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id", text: str
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(batches, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
+def _log_probs(grams: DataFrame, model: DataFrame, side: str) -> DataFrame:
+    """(gram, side): the log probability of each distinct gram, backed off order by order as `Language.log_prob` does."""
+    known, left, value = grams, F.lit(0.0), F.lit(None).cast("double")
+    for k in range(ORDER, 0, -1):
+        short = F.col("gram").bitwiseAND((1 << _BITS * k) - 1)
+        of = lambda n, column: model.where((F.col("lang") == side) & (F.col("n_order") == n) & F.col(column).isNotNull()).select(F.col("gram").alias("key__"), F.col(column).alias(f"{column}{n}"))
+        for key, table in ((short, of(k, "logp")), (F.shiftright(short, _BITS), of(k - 1, "logb"))):
+            known = known.withColumn("of__", key).join(table, F.col("of__") == F.col("key__"), "left").drop("of__", "key__")
+        value = F.coalesce(value, F.col(f"logp{k}") + left)
+        left = left + F.coalesce(f"logb{k - 1}", F.lit(0.0))
+    return known.select("gram", F.coalesce(value, left - float(np.log(_SYMBOLS))).alias(side))
+
+
+def _scored_by_join(docs: DataFrame, model: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """`scored` for models of any size: (row, n-gram) counts are joined with the log probabilities of the distinct n-grams."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in stream:
+            for at in range(0, whole.num_rows, 64):
+                batch = whole.slice(at, 64)
+                for gram, doc in _streams(batch.column(1)):
+                    pairs, n = np.unique(doc.astype(np.int64) << 32 | gram, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs >> 32)), pa.array(pairs & 0xFFFFFFFF), pa.array(n)], names=["row", "gram", "n"])
+
+    rows = settled(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    counts = settled(rows.select("row", "text").mapInArrow(batches, "row long, gram long, n long"), "row-ngrams")
+    grams = settled(counts.select("gram").distinct(), "distinct-ngrams")
+    probs = _log_probs(grams, model, TARGET).join(_log_probs(grams, model, BACKGROUND), "gram")
+    sums = counts.join(probs, "gram").groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(-F.col(s) * F.col("n")).alias(s) for s in (TARGET, BACKGROUND)))
+    mean = lambda total: F.round(total / F.col("n"), 6)
+    losses = mean(F.col(TARGET)).alias("target_loss"), mean(F.col(BACKGROUND)).alias("background_loss"), mean(F.col(TARGET) - F.col(BACKGROUND)).alias("score")
+    return rows.drop("text").join(sums, "row", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_tokens"), *losses)
+
+
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """`scored` with the documents that are labelled 1 as the target and all documents as the background.
 

@@ -34,3 +34,15 @@ def test_no_target_and_no_rows(spark):
     rows = lmscore.cross_entropy_difference(docs, labels).collect()
     assert [r.target_loss for r in rows] == [pytest.approx(4.85203)] * 2
     assert lmscore.cross_entropy_difference(docs.limit(0), labels).collect() == []
+
+
+def test_models_too_large_to_send_give_the_same_scores(spark):
+    words = ["alba", "Mint", "sea.", "é12", "zebra"]
+    data = [(i % 7 or None, " ".join(words[(i * k + k // 3) % (3 if i < 8 else 5)] for k in range(30))) for i in range(16)] + [(50, None), (51, ""), (52, "#Q~ x")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").coalesce(1)
+    model = lmscore.models(docs.limit(8), docs.limit(16))
+    plain = lambda **x: sorted(map(tuple, lmscore.scored(docs, model, **x).collect()), key=str)
+    sent, joined = plain(), plain(most_entries=0)
+    assert len(sent) == len(joined) == len(data)
+    for a, b in zip(sent, joined):
+        assert a[:2] == b[:2] and all(x == y or abs(x - y) < 1e-5 for x, y in zip(a[2:], b[2:]))
