@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 
 _SPACE = regex.compile(r"\p{White_Space}+").split
 _NO_SPACE = re.compile(r"[\x1c-\x1f]").search
+#: Capitals newer than Python's own table of letters, with their small letters.
+_NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x0264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x019B}
+_NEWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+_HAS_NEWER = re.compile("[" + "".join(map(chr, _NEWER)) + "]").search
 #: Most words whose encoding a Python worker keeps in each of two generations; a word that is used again moves to the new.
 _KEPT = 250_000
 
@@ -133,6 +137,8 @@ def joined(found: list[tuple[int, str, str]]) -> tuple[int, str, str]:
 def chunks(text: str) -> list[str]:
     """The stretches without white space of a text in normal form C and lower case."""
     text = unicodedata.normalize("NFC", text)
+    if not text.isascii() and _HAS_NEWER(text):
+        text = text.translate(_NEWER)
     if _NO_SPACE(text):  # split() without a separator would split at these, which are not white space in Unicode
         return [c for c in _SPACE(text.replace("Σ", "σ").lower()) if c]
     # lower() alone would make the sigma at a word's end another letter; the library works letter by letter

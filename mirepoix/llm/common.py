@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of up to `rows` rows whose texts, in column number `text`, have up to `size` bytes; longer texts alone."""
+    upto = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))])
+    at = 0
+    while at < batch.num_rows:
+        to = min(max(at + 1, int(np.searchsorted(upto, upto[at] + size, side="right")) - 1), at + rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def unsigned_hex(value: Column) -> Column:
     """A 64-bit value as 16 lowercase hexadecimal digits."""
     return F.lpad(F.lower(F.hex(value)), 16, "0")

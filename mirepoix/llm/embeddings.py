@@ -119,6 +119,7 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> float:
 
 def _unit(vectors: pa.Array) -> np.ndarray:
     flat = np.array(vectors.flatten(), dtype=np.float64).reshape(len(vectors), -1)
+    flat /= np.abs(flat).max(axis=1, keepdims=True)  # squares of very large or small numbers would leave the doubles' range
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 
@@ -158,7 +159,7 @@ class Covers:
         if net is None or len(net) == 1:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         own = gap[np.arange(len(gap)), home][:, None]
-        between = np.linalg.norm(net[home][:, None] - net[None], axis=2)
+        between = np.sqrt(np.maximum(0, 2 - 2 * net[home] @ net.T))
         near = (gap**2 - own**2 <= 2 * reach * between + 1e-6) & (gap <= self.radius[key] + reach + 1e-6)
         return np.nonzero(near & (np.arange(len(net))[None] > home[:, None]))
 

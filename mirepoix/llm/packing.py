@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mirepoix.llm.bpe import byte_symbols
 from mirepoix.llm.common import settled
 
 #: Splits a text before byte-level BPE; a fixed value of that public vocabulary.
@@ -22,7 +24,14 @@ SPECIAL = {"<|endoftext|>": 50256}
 
 @lru_cache(maxsize=2)
 def byte_encoding(path: str) -> tiktoken.Encoding:
-    """The byte-level BPE whose ranks are in the file at path; the same ids as the tokenizers library's file of it."""
+    """The byte-level BPE in the file at path: a JSON file of the tokenizers library or a file of ranks; ids are the same."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        of = {s: b for b, s in enumerate(byte_symbols())}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)

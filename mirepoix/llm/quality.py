@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mirepoix.llm.common import settled
+from mirepoix.llm.common import settled, slices
 
 ORDER, _BITS = 4, 7
 _SYMBOLS = 1 << _BITS
@@ -103,14 +103,14 @@ def _streams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     and so make up for the first.
     """
     data, offsets = _bytes(texts)
-    doc = np.repeat(np.arange(len(texts)), np.diff(offsets))
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(offsets))
     fresh = _IN_WORD[data]
     fresh[1:] |= (data[1:] != data[:-1]) | (doc[1:] != doc[:-1])
     fresh[:1] = True
     data, doc = data[fresh], doc[fresh]
     pad = ORDER - 1
     stream = np.zeros(len(data) + pad * len(texts), dtype=np.uint8)
-    place = np.arange(len(data)) + pad * (doc + 1)
+    place = np.arange(len(data)) + pad * (doc.astype(np.int64) + 1)
     stream[place] = _SYMBOL[data]
     for at in range(0, len(place), _BLOCK):
         p = place[at : at + _BLOCK]
@@ -126,8 +126,7 @@ def ngram_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         for whole in stream:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for batch in slices(whole, 1, 1024):
                 langs = np.array(batch.column(0).to_pylist())
                 found = defaultdict(list)
                 for gram, doc in _streams(batch.column(1)):
@@ -247,8 +246,7 @@ def measured(docs: DataFrame, models: dict[str, Language] | None, doc_id: str =
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, 2):
                 langs = np.array(batch.column(1).to_pylist())
                 total, length = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
                 for gram, doc in _streams(batch.column(2)) if shared.value is not None else ():
@@ -316,8 +314,7 @@ def entropies_by_join(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id",
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for at in range(0, whole.num_rows, 64):
-                batch = whole.slice(at, 64)
+            for batch in slices(whole, 2, 64):
                 for gram, doc in _streams(batch.column(2)):
                     pairs, n = np.unique(doc.astype(np.int64) << 32 | gram, return_counts=True)
                     rows = pa.array(pairs >> 32)
@@ -325,7 +322,7 @@ def entropies_by_join(docs: DataFrame, model: DataFrame, doc_id: str = "doc_id",
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
     grams = rows.mapInArrow(batches, f"doc_id {kind}, lang string, gram long, n long")
-    top = model.where((F.col("n_order") == ORDER) & F.col("logp").isNotNull()).select("lang", "gram", "logp")
+    top = model.where((F.col("n_order") == ORDER) & F.col("logp").isNotNull()).select("lang", "gram", F.col("logp").cast("float").cast("double").alias("logp"))
     cost = -F.coalesce("logp", F.lit(-float(np.log(_SYMBOLS)))) * F.col("n")
     return grams.join(top, ["lang", "gram"], "left").groupBy("doc_id").agg(F.round(F.sum(cost) / F.sum("n"), 5).alias("entropy"))
 
@@ -337,13 +334,28 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     n_dup_lines: lines with a word that equal an earlier line; n_repeat_words: words in three-word windows found twice
     or more. base_failed: under 50 words, or over half of them repeated. Others are kept if the entropy (log of the
     perplexity) of their characters, in the model of all documents of their language, is within the language's bands,
-    which are taken from the documents that don't fail (see `bands`). A null lang is a language of its own; a language
+    which are taken from the documents that don't fail (see `bands`). A null lang counts as the empty string; a language
     without such documents has no bands, and none to keep. A null text has no words, so it fails. Null and repeated
     doc_ids keep their rows, other columns are ignored, no rows give no rows.
 
     The model of all languages goes to executors as sorted arrays, at most `most_entries` of them (16 bytes each); a
     larger one is joined with the documents' n-grams.
     """
+    rows, failed, inside = _measured_and_limits(docs, doc_id, text, lang, spread, most_entries)
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "entropy", "low", "high", (~failed & inside).alias("kept")
+    )
+
+
+def sifted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", spread: float = 6.0, most_entries: int = 4_000_000) -> DataFrame:
+    """The rows of docs that `judged` keeps, with all their columns; they travel with their counts and are not shuffled."""
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows, failed, inside = _measured_and_limits(whole, "row", "text", "lang", spread, most_entries)
+    return rows.where(~failed & inside).select("doc_id.*")
+
+
+def _measured_and_limits(docs: DataFrame, doc_id: str, text: str, lang: str, spread: float, most_entries: int) -> tuple[DataFrame, Column, Column]:
+    """(`measured` rows with their language's low and high, whether they fail the base rules, whether they are inside)."""
     counts = settled(ngram_counts(docs, lang, text), "ngrams")
     model = settled(kneser_ney(counts), "kneser-ney")
     if model.count() <= most_entries:
@@ -357,6 +369,4 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     limits = F.broadcast(bands(rows.where(~failed), spread))  # a row for each language
     inside = F.coalesce(F.col("entropy").between(F.col("low"), F.col("high")), F.lit(True))
-    return rows.join(limits, "lang", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "entropy", "low", "high", (~failed & inside).alias("kept")
-    )
+    return rows.join(limits, "lang", "left"), failed, inside

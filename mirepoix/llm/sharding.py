@@ -10,35 +10,46 @@ from pyspark.sql import functions as F
 from mirepoix.llm.common import gapless, settled
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are among `good` of good + bad, for populations of any size.
+
+    By inversion: the law's ratios from one value to the next, summed up from its mode outwards to where what is left
+    is less than a double can tell (13 standard deviations); no approximation by another law.
+    """
+    least, most = max(0, n - bad), min(n, good)
+    if least == most:
+        return least
+    whole = good + bad
+    mode = min(max((n + 1) * (good + 1) // (whole + 2), least), most)
+    reach = int(13 * (n * (good / whole) * (bad / whole) * ((whole - n) / max(1, whole - 1))) ** 0.5) + 40
+    k = np.arange(max(least, mode - reach), min(most, mode + reach) + 1, dtype=np.float64)
+    step = np.log((good - k[:-1]) * ((n - k[:-1]) / ((k[:-1] + 1) * (bad - n + k[:-1] + 1))))
+    log_p = np.concatenate([[0.0], np.cumsum(step)])
+    upto = np.cumsum(np.exp(log_p - log_p.max()))
+    return int(k[np.searchsorted(upto, rng.random() * upto[-1], side="right").clip(max=len(k) - 1)])
+
+
 def communication_matrix(sources: list[int], shards: list[int], seed: int) -> np.ndarray:
     """How many rows each source sends to each shard: a draw from the law that a uniform permutation of all rows has.
 
-    Source by source, a multivariate hypergeometric draw from the places that are still free in the shards. Rows sum
-    to the sources, columns to the shards, exactly.
+    Source by source, a multivariate hypergeometric draw from the places that are still free in the shards: shard by
+    shard, how many of the source's rows go there rather than to a later one. Rows sum to the sources, columns to the
+    shards, exactly.
     """
     if sum(sources) != sum(shards):
         raise ValueError("sources and shards differ in their rows")
-    rng, free = np.random.default_rng(seed), np.array(shards, dtype=np.int64)
+    rng, free = np.random.default_rng(seed), [int(s) for s in shards]
     matrix = np.zeros((len(sources), len(shards)), dtype=np.int64)
-    for i, n in enumerate(sources):
-        matrix[i] = rng.multivariate_hypergeometric(free, n, method="marginals") if free.sum() < 10**9 else _large_draw(rng, free, n)
-        free -= matrix[i]
+    for i, left in enumerate(map(int, sources)):
+        later = sum(free)
+        for j, places in enumerate(free):
+            later -= places
+            matrix[i, j] = sent = hypergeometric(rng, places, later, left)
+            free[j] -= sent
+            left -= sent
     return matrix
 
 
-def _large_draw(rng: np.random.Generator, free: np.ndarray, n: int) -> np.ndarray:
-    """The same by splitting the shards in halves, for totals over numpy's limit of 10**9; binomial where both are beyond it."""
-    if len(free) == 1:
-        return np.array([n])
-    half = len(free) // 2
-    good, bad = int(free[:half].sum()), int(free[half:].sum())
-    if max(good, bad) < 10**9:
-        left = int(rng.hypergeometric(good, bad, n))
-    else:
-        left = int(np.clip(rng.binomial(n, good / (good + bad)), n - bad, good))
-    return np.concatenate([_large_draw(rng, free[:half], left), _large_draw(rng, free[half:], n - left)])
-
-
 def even_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
@@ -56,19 +67,19 @@ def shuffled(rows: DataFrame, shards: int = 8, seed: int = 0, rows_per_source: i
     bad = {"shard", "slot"} & set(rows.columns)
     if bad:
         raise ValueError(f"columns clash with results: {sorted(bad)}")
-    spark, names = rows.sparkSession, rows.columns
-    placed = settled(rows.select("*", F.monotonically_increasing_id().alias("place__")), "unshuffled")
+    spark, whole = rows.sparkSession, F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row")  # no name of theirs meets ours
+    placed = settled(rows.select(whole, F.monotonically_increasing_id().alias("place")), "unshuffled")
     n = placed.count()
     sources = max(1, -(-n // rows_per_source))
-    dealt = placed.withColumns({"source__": F.pmod(F.xxhash64("place__", F.lit(seed)), F.lit(sources)), "first__": F.xxhash64("place__", F.lit(seed + 1)), "second__": F.shiftrightunsigned(F.xxhash64("place__", F.lit(seed + 2)), 2)})
-    held = dict(dealt.groupBy("source__").count().collect())
+    dealt = placed.withColumns({"source": F.pmod(F.xxhash64("place", F.lit(seed)), F.lit(sources)), "first": F.xxhash64("place", F.lit(seed + 1)), "second": F.shiftrightunsigned(F.xxhash64("place", F.lit(seed + 2)), 2)})
+    held = dict(dealt.groupBy("source").count().collect())
     counts = [held.get(i, 0) for i in range(sources)]
     upto = communication_matrix(counts, even_sizes(n, shards), seed).cumsum(axis=1)
-    plan = spark.createDataFrame([(i, [int(x) for x in upto[i]]) for i in range(sources)], "source__ long, upto__ array<long>")
-    local = dealt.withColumn("rank__", F.row_number().over(W.partitionBy("source__").orderBy("first__", "place__")) - 1)
-    sent = local.join(plan, "source__").withColumn("shard", F.size(F.filter("upto__", lambda c: c <= F.col("rank__"))))
-    numbered = gapless(sent.select(*names, "place__", "second__", "shard"), ["shard"], F.col("second__"), "slot", rows_per_source, F.col("place__"))
-    return numbered.select(*names, "shard", "slot")
+    plan = spark.createDataFrame([(i, [int(x) for x in upto[i]]) for i in range(sources)], "source long, upto array<long>")
+    local = dealt.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy("first", "place")) - 1)
+    sent = local.join(plan, "source").withColumn("shard", F.size(F.filter("upto", lambda c: c <= F.col("rank"))))
+    numbered = gapless(sent.select("row", "place", "second", "shard"), ["shard"], F.col("second"), "slot", rows_per_source, F.col("place"))
+    return numbered.select("row.*", "shard", "slot")
 
 
 def shuffled_digests(docs: DataFrame, shards: int = 8, seed: int = 0) -> DataFrame:

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.llm.blocks import in_blocks
-from mirepoix.llm.common import settled, unsigned_hex
+from mirepoix.llm.common import settled, slices, unsigned_hex
 from mirepoix.llm.components import connected_components
+from mirepoix.llm.lmscore import word_hashes
 
 _BLOCK = 1 << 15
 
@@ -41,7 +42,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """(doc_id, fp): the SimHash of each whole text, as a signed long."""
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, 1)):
             texts = batch.column(1).cast(pa.binary())
             fps = np.fromiter((fingerprint(x.as_py(), words, seed) for x in texts), dtype=np.uint64, count=len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
@@ -134,79 +135,101 @@ class Forest:
                 self.label = up
 
 
-def local_links(fps: np.ndarray, role: np.ndarray, shift: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): a spanning forest of the links in one block. role: 0 guest, 1 partner of guests only, 2 resident.
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A column of equally long binaries, of whole 64-bit words, as rows of these words."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    whole = whole.cast(pa.large_binary())
+    ends = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    data = np.frombuffer(whole.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return np.ascontiguousarray(data).view("<u8").reshape(len(whole), -1)
+
+
+def local_links(band: np.ndarray, prints: np.ndarray, role: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): rows that make a spanning forest of the links in one block. role: 0 guest, 1 partner of guests only, 2 resident.
 
-    Residents are compared with each other and with all guests, partners with guests only. The tree is carried on
-    below the shard, on random vantages, to leaves of a few hundred, where full fingerprints are compared.
+    Residents are compared with each other and with all guests, partners with guests only. The tree over `band` is
+    carried on below the shard, on random vantages, to leaves of a few hundred; there, rows within `bits` of each other
+    are linked if their prints, rows of 64-bit words, are within `radius`.
     """
-    half = ((fps >> np.uint64(shift)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    rng, forest = np.random.default_rng(11), Forest(len(fps))
+    rng, forest = np.random.default_rng(11), Forest(len(band))
     todo = [(np.flatnonzero(role), np.flatnonzero(role == 0))]
     while todo:
         home, guest = todo.pop()
         if not len(home) or not len(guest) and not (role[home] == 2).any():
             continue
-        split = best_split(half[home], bits, rng, 3) if len(home) > 384 else None
+        split = best_split(band[home], bits, rng, 3) if len(home) > 384 else None
         if split is not None:
-            todo += descend(half, home, guest, split[0], split[1], bits)
+            todo += descend(band, home, guest, split[0], split[1], bits)
             continue
         against = np.concatenate([home[role[home] == 2], guest])
         for at in range(0, len(home), 256):
             rows = home[at : at + 256]
-            for to in range(0, len(against), 4096):
-                cols = against[to : to + 4096]
-                i, j = np.nonzero(np.bitwise_count(fps[rows][:, None] ^ fps[cols][None, :]) <= radius)
+            for to in range(0, len(against), 1024):
+                cols = against[to : to + 1024]
+                i, j = np.nonzero(np.bitwise_count(band[rows][:, None] ^ band[cols][None, :]) <= bits)
+                i, j = rows[i], cols[j]
+                apart = forest.label[i] != forest.label[j]  # what is linked already needs no second proof
+                i, j = i[apart], j[apart]
                 # two partners are never compared, a partner and a resident never share a block
-                forest.link(rows[i], cols[j])
-    moved = np.flatnonzero(forest.label != np.arange(len(fps)))
-    return fps[moved], fps[forest.label[moved]]
+                linked = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= radius
+                forest.link(i[linked], j[linked])
+    moved = np.flatnonzero(forest.label != np.arange(len(band)))
+    return moved, forest.label[moved]
 
 
-def hamming_links(fps: DataFrame, radius: int = 3, shard_rows: int = 2048, sample_rows: int = 16384) -> DataFrame:
-    """(a, b) edges that join just the distinct 64-bit values of `fp` that a chain of distances <= radius joins.
+def band_links(prints: DataFrame, bits: int, radius: int, shard_rows: int = 2048, sample_rows: int = 1 << 20) -> DataFrame:
+    """(a, b) edges between nodes that a chain of links joins, from prints (node long, search binary, check binary).
 
-    Values within `radius` bits agree within radius // 2 bits on their upper or on their lower 32 bits, so there is
-    one vantage-point tree for each half, searched at that smaller radius, where its bounds prune well; whatever
-    meets in a leaf is compared on all 64 bits. The trees' upper levels are fitted on a hash sample of about
-    `sample_rows` values and have a leaf for each `shard_rows` values; every value is routed. A leaf with far more
-    rows is cut into pairs of chunks, so that no task holds it whole; each block returns a spanning forest of its
-    links, never all pairs. fps: one row for each distinct value.
+    Two nodes are linked if any 32-bit band of `search` differs in at most `bits` bits and `check` in at most `radius`.
+    There is one vantage-point tree for each band, where so small a distance prunes well. The trees' upper levels are
+    fitted on a hash sample of up to `sample_rows` nodes, eight for each leaf, and have a leaf for each `shard_rows`
+    nodes; every node is routed. A leaf with far more rows is cut into pairs of chunks, so that no task holds it
+    whole; each block returns a spanning forest of its links, never all pairs. Nodes must not repeat.
     """
-    spark = fps.sparkSession
-    n = fps.count()
-    leaves, bits = max(1, -(-n // shard_rows)), radius // 2
-    share = min(0.5, sample_rows / max(1, n))
-    sample = fps.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * sample_rows)
-    drawn = np.array([r[0] for r in sample.collect()], dtype=np.int64).view(np.uint64)
-    trees = [VantageTree(((drawn >> np.uint64(s)) & np.uint64(0xFFFFFFFF)).astype(np.uint32), leaves, bits, 7 + s) for s in (0, 32)]
-    shared = spark.sparkContext.broadcast(trees)
+    n = prints.count()
+    leaves = max(1, -(-n // shard_rows))
+    share = min(0.5, min(sample_rows, max(16384, 8 * leaves)) / max(1, n))
+    sample = prints.where(F.pmod(F.xxhash64("search", F.lit(1)), F.lit(1 << 20)) < int(share * (1 << 20))).select("search").limit(2 * sample_rows).toArrow()
+    bands = matrix(sample.column(0)).view("<u4") if sample.num_rows else np.zeros((0, 1), "<u4")
+    trees = [VantageTree(bands[:, t], leaves, bits, 7 + t) for t in range(bands.shape[1])] if sample.num_rows else []
+    shared = prints.sparkSession.sparkContext.broadcast(trees)
 
     def routed(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            values = np.array(batch.column(0)).view(np.uint64)
-            for t, tree in enumerate(shared.value):
-                half = ((values >> np.uint64(32 * t)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                parts = [(np.concatenate([home, guest]), np.full(len(home) + len(guest), 2 * leaf + t), np.repeat([2, 0], [len(home), len(guest)])) for leaf, home, guest in tree.route(half)]
-                if parts:
-                    at, shard, role = (np.concatenate(x) for x in zip(*parts))
-                    yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(role.astype(np.int8)), pa.array(values[at].view(np.int64))], names=["shard", "role", "fp"])
+            if not batch.num_rows:
+                continue
+            values = matrix(batch.column(1)).view("<u4")
+            known = shared.value or [VantageTree(values[:0, 0], 1, bits)] * values.shape[1]  # no sample: one leaf for all
+            for t, tree in enumerate(known):
+                parts = [(np.concatenate([home, guest]), np.full(len(home) + len(guest), len(known) * leaf + t), np.repeat([2, 0], [len(home), len(guest)])) for leaf, home, guest in tree.route(values[:, t])]
+                at, shard, role = (np.concatenate(x) for x in zip(*parts))
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(role.astype(np.int8)), batch.column(0).take(rows), pa.array(values[at, t].view(np.int32)), batch.column(2).take(rows)], names=["shard", "role", "node", "band", "check"])
 
-    rows = fps.select("fp").mapInArrow(routed, "shard int, role byte, fp long")
-    return _joined(rows, radius, bits, cap=4 * shard_rows)
+    rows = prints.select("node", "search", "check").mapInArrow(routed, "shard int, role byte, node long, band int, check binary")
+    return _joined(rows, bits, radius, 4 * shard_rows)
 
 
-def _joined(rows: DataFrame, radius: int, bits: int, cap: int) -> DataFrame:
+def _joined(rows: DataFrame, bits: int, radius: int, cap: int) -> DataFrame:
     def joined(group: pa.Table) -> pa.Table:
-        t = group.column("shard")[0].as_py() % 2
-        fps = np.array(group.column("fp")).view(np.uint64)
-        a, b = local_links(fps, np.array(group.column("role")), 32 * t, bits, radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        a, b = local_links(np.array(group.column("band"), dtype=np.int32).view(np.uint32), matrix(group.column("check")), np.array(group.column("role")), bits, radius)
+        node = np.array(group.column("node"))
+        return pa.table({"a": node[a], "b": node[b]})
 
-    placed = in_blocks(rows, ["shard"], "fp", cap)
+    placed = in_blocks(rows, ["shard"], "node", cap)
     return placed.groupBy("shard", "i", "j").applyInArrow(joined, "a long, b long")
 
 
+def hamming_links(fps: DataFrame, radius: int = 3, **sizes: int) -> DataFrame:
+    """(a, b) edges that join just the distinct 64-bit values of `fp` that a chain of distances <= radius joins.
+
+    Values within `radius` bits agree within radius // 2 bits on their upper or on their lower 32 bits: these are the
+    bands of `band_links`, so no pair is missed. fps: one row for each distinct value.
+    """
+    data = F.to_binary(unsigned_hex(F.col("fp")), F.lit("hex"))
+    return band_links(fps.select(F.col("fp").alias("node"), data.alias("search"), data.alias("check")), radius // 2, radius, **sizes)
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 3, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row: component_id is the smallest doc_id that links of at most
     `radius` differing bits reach, its own included.
@@ -222,3 +245,67 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(least, "root").select("fp", "component_id")
     return each.join(of, "fp").select("doc_id", unsigned_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+_ODD = np.random.default_rng(29).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def wide_print(hashes: np.ndarray, words: int, wide: int) -> bytes:
+    """A SimHash of `wide` 64-bit words over the shingles of `words` words, from the words' hashes.
+
+    Fewer words than that: their whole sequence is the one shingle; none: all zero.
+    """
+    n = len(hashes)
+    if not n:
+        return bytes(8 * wide)
+    words = min(words, n)
+    shingles = np.zeros(n - words + 1, np.uint64)
+    for k in range(words):
+        shingles = shingles * np.uint64(0xD6E8FEB86659FD93) + hashes[k : n - words + 1 + k]
+    ones = np.zeros(64 * wide, np.int64)
+    for at in range(0, len(shingles), 255):  # sums of up to 255 bits fit a byte
+        x = shingles[at : at + 255, None] * _ODD[:wide]
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        ones += np.unpackbits((x ^ (x >> np.uint64(32))).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
+
+
+def print_radius(similarity: float, bits: int) -> int:
+    """Differing bits that nine in ten pairs of this shingle similarity (Jaccard, sets of equal size) stay within."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + 1.3 * np.sqrt(bits * p * (1 - p)))
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 16, wide: int = 8) -> DataFrame:
+    """(doc_id, component_id) for each row: the smallest doc_id that links reach, where texts are linked whose sets of
+    `words`-word shingles have about `similarity` or more in common.
+
+    Candidates agree within one bit on one of `bands` 32-bit bands of a SimHash over two-word shingles, which are found
+    through vantage-point trees. Of these, texts are linked whose SimHashes of 64 * `wide` bits over `words`-word
+    shingles are within `print_radius`. On texts of the test corpora 0.94 of pairs of similarity 0.8 or more share
+    a band, and 0.9 of those at just 0.8 are within the radius, as is one in ten at 0.7.
+
+    A-Z are lower-cased; words lie between ASCII white space. Null and empty texts are similar to each other alone.
+    Repeated rows stay repeated. A null doc_id keeps its row; it is nobody's component_id unless all of a component
+    are null. Empty table: no rows. Other columns of docs are ignored.
+    """
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in stream:
+            for batch in slices(whole, 1):
+                made = []
+                for x in batch.column(1).cast(pa.large_binary()):
+                    hashes = word_hashes(x.as_py() or b"")[0]
+                    made.append((wide_print(hashes, 2, bands // 2), wide_print(hashes, words, wide)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in zip(*made))], names=["doc_id", "search", "check"])
+
+    kind = docs.select(doc_id).dtypes[0][1]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    each = settled(rows.mapInArrow(batches, f"doc_id {kind}, search binary, check binary"), "wide-prints")
+    groups = each.groupBy("search", "check").agg(F.min("doc_id").alias("first"))
+    groups = settled(groups.withColumn("node", F.monotonically_increasing_id()), "distinct-prints")
+    roots = connected_components(band_links(groups, 1, print_radius(similarity, 64 * wide)))
+    rooted = groups.join(roots, "node", "left").select("search", "check", "first", F.coalesce("root", "node").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    of = rooted.join(least, "root").select("search", "check", "component_id")
+    return each.join(of, ["search", "check"]).select("doc_id", "component_id")

@@ -11,35 +11,39 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirepoix.llm.common import settled
+from mirepoix.llm.common import settled, slices
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[:128] = [c if chr(c).isalpha() else 32 for c in range(128)]
-_HASH, _BITS = np.uint64(0x9E3779B97F4A7C15), 18
+_HASH, _BASE, _BITS, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 20, 1 << 18
 
 
-def folded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit windows, offsets): texts in lower case as UTF-8, ASCII other than letters as spaces, one after another.
+def code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of all texts in lower case, offsets): text k has those from offsets[k] to offsets[k + 1]; a null text none.
 
-    Window i holds the eight bytes from byte i on; text k has the bytes offsets[k] to offsets[k + 1].
+    Letters, digits and marks of every script stay what they are; each white space counts as a blank.
     """
     lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    offsets = np.frombuffer(lower.buffers()[1], dtype=np.int64)[lower.offset : lower.offset + len(lower) + 1]
-    data = np.zeros(offsets[-1] - offsets[0] + 8, dtype=np.uint8)
-    if len(data) > 8:
-        data[:-8] = _FOLD[np.frombuffer(lower.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]]
-    return np.ndarray((len(data) - 8,), dtype="<u8", buffer=data, strides=(1,)), offsets - offsets[0]
+    offsets = np.concatenate([[0], np.cumsum(np.array(pc.utf8_length(lower), dtype=np.int64))])
+    ends = np.frombuffer(lower.buffers()[1], dtype=np.int64)[lower.offset : lower.offset + len(lower) + 1]
+    data = lower.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if ends[-1] > ends[0] else b""
+    points = np.frombuffer(data.decode().encode("utf-32-le"), "<u4")
+    return np.where((points >= 9) & (points <= 13), np.uint32(32), points), offsets
 
 
-def _mask(n: int) -> np.uint64:
-    return np.uint64((1 << 8 * n) - 1)
+def ngram_keys(points: np.ndarray, sizes: tuple[int, ...]) -> Iterator[np.ndarray]:
+    """For each size the 64-bit hashes of the n-grams of code points that begin at each place, in order."""
+    key = np.zeros(len(points), np.uint64)
+    for n in range(1, max(sizes) + 1):
+        key = key[: max(0, len(points) - n + 1)]
+        key = key * _BASE + points[n - 1 :]
+        if n in sizes:
+            yield key * _HASH + np.uint64(n)
 
 
 @dataclass
 class Model:
-    """Weights of n-grams (of their UTF-8 bytes, packed in a long) and an intercept; at most some thousand entries."""
+    """Weights of n-grams (by their hashes) and an intercept."""
 
-    sizes: tuple[int, ...]
+    sizes: tuple[int, ...]  # ascending
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     intercept: float = 0.0
@@ -53,24 +57,23 @@ class Model:
 
     @staticmethod
     def _bucket(keys: np.ndarray) -> np.ndarray:
-        return ((keys * _HASH) >> np.uint64(64 - _BITS)).astype(np.int32)
+        return ((keys * _HASH) >> np.uint64(64 - _BITS)).astype(np.int64)
 
     def found(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(text number, entry number) for each entry that a text holds, once each, in order."""
-        windows, offsets = folded(texts)
-        pairs = [np.zeros(0, np.int64)]
-        if len(self.keys):
-            for n in self.sizes:
-                for at in range(0, len(windows), 1 << 18):
-                    keys = windows[at : at + (1 << 18)] & _mask(n)
-                    hits = np.flatnonzero(self.slot[self._bucket(keys)])
-                    keys = keys[hits]
-                    entry = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                    same = self.keys[entry] == keys
-                    hits, entry = hits[same] + at, entry[same]
-                    doc = np.searchsorted(offsets, hits, side="right") - 1
-                    inside = hits + n <= offsets[doc + 1]
-                    pairs.append(np.unique(doc[inside] * len(self.keys) + entry[inside]))
+        points, offsets = code_points(texts)
+        pairs, most = [np.zeros(0, np.int64)], max(self.sizes)
+        for at in range(0, len(points) if len(self.keys) else 0, _RUN):
+            for n, keys in zip(self.sizes, ngram_keys(points[at : at + _RUN + most - 1], self.sizes)):
+                keys = keys[:_RUN]
+                hits = np.flatnonzero(self.slot[self._bucket(keys)])
+                keys = keys[hits]
+                entry = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                same = self.keys[entry] == keys
+                hits, entry = hits[same] + at, entry[same]
+                doc = np.searchsorted(offsets, hits, side="right") - 1
+                inside = hits + n <= offsets[doc + 1]
+                pairs.append(np.unique(doc[inside] * len(self.keys) + entry[inside]))
         whole = np.unique(np.concatenate(pairs))
         return np.divmod(whole, max(1, len(self.keys)))
 
@@ -85,12 +88,11 @@ def _ngrams(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
+            for batch in slices(whole, 0, 1000):
                 labels = np.array(batch.column(1))
-                windows, offsets = folded(batch.column(0))
+                points, offsets = code_points(batch.column(0))
                 for label in (0, 1):
-                    held = [np.unique(windows[offsets[k] : max(offsets[k], offsets[k + 1] - n + 1)] & _mask(n)) for k in np.flatnonzero(labels == label) for n in sizes]
+                    held = [np.unique(keys) for k in np.flatnonzero(labels == label) for keys in ngram_keys(points[offsets[k] : offsets[k + 1]], sizes)]
                     if held:
                         grams, counts = np.unique(np.concatenate(held), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), label, np.int32)), pa.array(counts)], names=["gram", "label", "n"])
@@ -102,16 +104,16 @@ def _entropy(*counts: Column) -> Column:
     return sum(((c * F.log(F.greatest(c, F.lit(1e-9)))) for c in counts[1:]), counts[0] * F.log(F.greatest(counts[0], F.lit(1e-9))))
 
 
-def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_label: int = 12_000, entries: int = 8192, least: float = 8.0, sizes: tuple[int, ...] = (4, 5, 6), alpha: float = 1.0, decay: float = 1.0, steps: int = 300) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_label: int = 12_000, least: float = 12.0, sizes: tuple[int, ...] = (4, 5, 6), alpha: float = 1.0, decay: float = 1.0, steps: int = 300) -> Model:
     """The model of `labels` (doc_id, label 0 or 1) over their docs.
 
     It is fitted on at most `rows_per_label` labelled rows of each label, those whose doc_id has the smallest hash;
     this bound is the only thing that keeps rows out, and the intercept is set right for it by the counts of all
     labels. Spark counts how many of these texts of each label hold an n-gram; each n-gram's log-count ratio
-    r = log((p + alpha) / |p|) - log((q + alpha) / |q|) scales its 0/1 feature. The `entries` n-grams that tell most
-    of the label (by the log-likelihood ratio G2 of their counts, `least` or more) get weights by logistic regression
-    with L2 decay on those scaled features.
-    Null labels and doc_ids are left out; of labels that contradict each other the larger counts. If one label is
+    r = log((p + alpha) / |p|) - log((q + alpha) / |q|) scales its 0/1 feature. All n-grams whose counts differ between
+    the labels beyond chance (their log-likelihood ratio G2 is `least` or more; 12 is passed by one in two thousand
+    that don't differ) get weights by logistic regression with L2 decay on those scaled features.
+    An id with several rows in docs gives one of them, that with the smallest text. Null labels and doc_ids are left out; of labels that contradict each other the larger counts. If one label is
     missing altogether, the score of all texts is the smoothed share of label 1.
     """
     known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(doc_id).alias("key")).agg(F.max(label).cast("int").alias("label"))
@@ -122,7 +124,7 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
         return Model(sizes, intercept=float(prior))
     drawn = [known.where(F.col("label") == v).orderBy(F.xxhash64("key"), "key").limit(rows_per_label) for v in (0, 1)]
     chosen = drawn[0].union(drawn[1])  # at most 2 * rows_per_label rows of two numbers
-    rows = settled(docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key"), "toxicity-rows")
+    rows = settled(docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").groupBy("key").agg(F.first("label").alias("label"), F.min("text").alias("text")), "toxicity-rows")
     sizes_of = dict(rows.groupBy("label").count().collect())
     m0, m1 = sizes_of.get(0, 0), sizes_of.get(1, 0)
     if not m0 or not m1:
@@ -130,10 +132,10 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     held = _ngrams(rows, sizes).groupBy("gram").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).cast("double").alias("q"))
     p, q, total = F.col("p"), F.col("q"), float(m0 + m1)
     told = _entropy(p, q, m1 - p, m0 - q) - _entropy(p + q, F.lit(total) - p - q) - _entropy(F.lit(float(m1)), F.lit(float(m0))) + _entropy(F.lit(total))
-    best = held.withColumn("told", F.round(2 * told, 6)).where(F.col("told") >= least).orderBy(F.desc("told"), "gram").limit(entries).collect()
-    keys = np.array([b.gram for b in best], dtype=np.int64).view(np.uint64)
+    best = held.withColumn("told", F.round(2 * told, 6)).where(F.col("told") >= least).select("gram", "p", "q").toArrow()  # as many as the bounded sample has
+    keys = np.array(best.column("gram"), dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
-    p_, q_ = (np.array([b[c] for b in best])[order] for c in ("p", "q"))
+    p_, q_ = (np.array(best.column(c), dtype=np.float64)[order] for c in ("p", "q"))
     if not len(keys):
         return Model(sizes, intercept=float(prior))
     ratio = np.log((p_ + alpha) / (p_.sum() + alpha * len(p_))) - np.log((q_ + alpha) / (q_.sum() + alpha * len(q_)))
@@ -150,7 +152,7 @@ def _features(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
+        for batch in (part for whole in stream for part in slices(whole, 0)):
             doc, entry = shared.value.found(batch.column(0))
             ends = np.searchsorted(doc, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(entry.astype(np.int32)))], names=["label", "entries"])
@@ -190,8 +192,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], names=["doc_id", "score"])
 
     kind = docs.select(doc_id).dtypes[0][1]
@@ -221,8 +222,7 @@ def sifted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **setting
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, place):
                 yield batch.filter(pa.array(shared.value.scores(batch.column(place)) < threshold))
 
     return docs.mapInArrow(batches, docs.schema)

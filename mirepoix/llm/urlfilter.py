@@ -37,8 +37,14 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def write_list(entries: list[tuple[str, str]], path: str) -> None:
-    """(string, verdict) entries as one file: count, sorted XXH64 digests, verdicts, string bounds, strings."""
-    rows = sorted((xxhash.xxh64_intdigest(s.encode(), seed=42), s.encode(), v) for s, v in dict(entries).items())
+    """(string, verdict) entries as one file: count, sorted XXH64 digests, verdicts, string bounds, strings.
+
+    Of equal strings with different verdicts block counts.
+    """
+    verdicts: dict[str, str] = {}
+    for s, v in entries:
+        verdicts[s] = max(v, verdicts.get(s, v))
+    rows = sorted((xxhash.xxh64_intdigest(s.encode(), seed=42), s.encode(), v) for s, v in verdicts.items())
     ends = np.cumsum([0, *(len(s) for _, s, _ in rows)], dtype="<i8")
     with open(path, "wb") as out:
         out.write(np.array([len(rows)], "<i8").tobytes() + np.array([d for d, _, _ in rows], "<u8").tobytes())
@@ -92,7 +98,7 @@ def judged(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "
     """(page_id, host, path, rule, verdict) for each row of pages.
 
     A rule fits its host and all its subdomains if the URL's path starts with its path; the longest rule string wins
-    (of equals the larger). No rule: `otherwise`. Null, empty and relative URLs have no host, so no rule fits them.
+    (of equals the larger); of equal rule strings with different verdicts block counts. No rule: `otherwise`. Null, empty and relative URLs have no host, so no rule fits them.
     Repeated rows and null page_ids are kept, other columns ignored. rules: (host, path, verdict) rows, or a
     DataFrame of them with columns host, path, verdict: lists of up to `most_mapped` bytes go to each executor as one
     sorted, memory-mapped file, larger ones are joined.

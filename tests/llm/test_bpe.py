@@ -39,3 +39,9 @@ def test_digests_of_null_empty_and_repeated_rows(spark):
     assert rows[0].ids_sha256 == rows[0].decoded_sha256 == rows[1].ids_sha256 == empty
     assert bpe.encoded(docs.where("doc_id is null"), PATH).first().decoded == "hello</w> hello</w>"
     assert bpe.digests(docs.limit(0), PATH).collect() == []
+
+
+def test_every_code_point_is_lower_cased_as_the_library_does():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).normalizer
+    texts = ("x" + chr(c) + "x" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    assert not [t for t in texts if library.normalize_str(t) != " ".join(bpe.chunks(t))]

@@ -28,7 +28,7 @@ def test_each_stage_drops_what_its_operator_says(spark, tmp_path):
     wants = [
         lambda d: ids(toxicity.judged(d, labels).where("predicted = 0")),
         lambda d: ids(quality.judged(d).where("kept")),
-        lambda d: sorted({r.component_id for r in simhash.near_duplicates(d).collect()}),
+        lambda d: sorted({r.component_id for r in simhash.similar_documents(d).collect()}),
     ]
     before = docs.count()
     for k, (want, (name, stage)) in enumerate(zip(wants, corpus_pipeline.STAGES)):

@@ -71,3 +71,9 @@ def test_empty_and_repeated(spark):
     got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got if r.component_id) == [(0, 2, 5), (5, 2, 5), (5, 2, 5)]
     assert len(got) == 4
+
+
+def test_very_large_and_small_components_keep_their_links(spark):
+    data = [(1, [1e200, 2e200], 0), (2, [1e-200, 2e-200], 0), (3, [1.0, 2.0], 0), (4, [5e-320, 1e-319], 0), (5, [2.0, -1.0], 0)]
+    rows = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(rows).collect()) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (4, 3, 1), (5, 0, 5)]

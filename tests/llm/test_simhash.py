@@ -92,3 +92,40 @@ def test_connected_components_on_chains_and_stars(spark):
     edges = spark.createDataFrame([*pairs, (None, 3)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
+
+
+def shingles(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_similar_documents_find_what_brute_force_finds(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ne", "tu", "re", "so"]) for _ in range(rng.randint(1, 4)))
+    texts, base = [], []
+    for b in range(120):
+        words = [word() for _ in range(rng.randint(60, 500))]
+        texts.append(" ".join(words))
+        base.append(b)
+        copy = list(words)
+        for at in range(rng.randint(0, 40), len(words), rng.choice([45, 60, 90, 400])):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+        base.append(b)
+    sets = [shingles(t) for t in texts]
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, search string, node long").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert len(got) == len(texts) and all(base[c] == base[i] for i, c in got.items())
+    similar = [i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1])]
+    found = sum(got[i] == got[i + 1] for i in similar)
+    assert len(similar) > 60 and found >= 0.9 * len(similar)
+    far = [i for i in range(0, len(texts), 2) if len(sets[i] & sets[i + 1]) < 0.6 * len(sets[i] | sets[i + 1])]
+    assert all(got[i] != got[i + 1] for i in far)
+
+
+def test_similar_documents_odd_rows(spark):
+    data = [(3, "A b c d e f"), (3, "a b\tc d e f"), (None, "a b c d e F"), (9, None), (8, " "), (10, "one"), (11, "one"), (12, "two words")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.component_id) for r in simhash.similar_documents(docs).collect())
+    assert got == [(-1, 3), (3, 3), (3, 3), (8, 8), (9, 8), (10, 10), (11, 10), (12, 12)]
+    assert simhash.similar_documents(docs.limit(0)).collect() == []

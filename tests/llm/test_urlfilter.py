@@ -48,3 +48,10 @@ def test_equal_digests_are_told_apart_by_their_strings(tmp_path, monkeypatch):
     rules = urlfilter.DigestList(str(tmp_path / "list"))
     found = rules.find(np.array([7, 7, 7, 8], dtype=np.uint64), pa.array(["b/", "a/", "c/", "a/"]))
     assert [rules.string(k) if k >= 0 else None for k in found] == [b"b/", b"a/", None, None]
+
+
+def test_equal_rules_with_different_verdicts_block(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
+    for rules in ([("com", "/x", "block"), ("com", "/x", "allow")], [("com", "/x", "allow"), ("com", "/x", "block")]):
+        for most in (1 << 20, 0):
+            assert [r.verdict for r in urlfilter.judged(pages, rules, most_mapped=most).collect()] == ["block"]
