@@ -34,21 +34,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of enough and not too repetitive words whose perplexity is within their language's bands."""
-    numbered = _numbered(docs)
-    return _kept(numbered, quality.judged(numbered, doc_id="kept__row").where("kept").select("doc_id"))
+    return quality.sifted(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one row, that with the smallest doc_id, nulls last; of equal ids the first row."""
+    """Of each group of near-duplicates one row, that with the smallest doc_id, nulls last; of equal ids the first row.
+
+    Near-duplicates share about 0.8 or more of their five-word shingles (see simhash.similar_documents).
+    """
     numbered = _numbered(docs)
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("kept__row").alias("row"))
-    found = simhash.near_duplicates(numbered.withColumn("kept__key", key), doc_id="kept__key")
+    found = simhash.similar_documents(numbered.withColumn("kept__key", key), doc_id="kept__key")
     return _kept(numbered, found.where("doc_id.row = component_id.row").select("doc_id.row"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in training sequences."""
-    return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.packed_digests(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", drop_low_quality), ("simhash near-dedup", drop_near_duplicates), ("best-fit packing", pack_sequences)]
