@@ -227,7 +227,7 @@ def _scores(rows: DataFrame, good: DataFrame | None, weight: float, block_bytes:
     return sums.select("doc_id", F.col("n").alias("n_tokens"), mean(target).alias("target_loss"), mean(background).alias("background_loss"), mean(target - background).alias("score"))
 
 
-def scored(docs: DataFrame, target: DataFrame, background: DataFrame, doc_id: str = "doc_id", text: str = "text", weight: float = 5.0, block_bytes: int = 8 << 20, part_words: int = 600_000) -> DataFrame:
+def scored(docs: DataFrame, target: DataFrame, background: DataFrame, doc_id: str = "doc_id", text: str = "text", weight: float = 5.0, block_bytes: int = 6 << 20, part_words: int = 600_000) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) for each row of docs.
 
     Tokens are a text's words; a loss is the mean of their negative log probabilities; score is the mean of each
@@ -249,7 +249,7 @@ def scored(docs: DataFrame, target: DataFrame, background: DataFrame, doc_id: st
     return _scores(rows(docs, SCORED).union(rows(background, BACKGROUND)).union(rows(target, TARGET)), None, weight, block_bytes, part_words)
 
 
-def cross_entropy_difference(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", weight: float = 5.0, block_bytes: int = 8 << 20, part_words: int = 600_000) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", weight: float = 5.0, block_bytes: int = 6 << 20, part_words: int = 600_000) -> DataFrame:
     """`scored` with the documents that are labelled 1 as the target and all documents as the background.
 
     Texts are read once for both; the labels meet the blocks' lists of doc_ids. No such document: an empty target.

@@ -104,15 +104,16 @@ def _entropy(*counts: Column) -> Column:
     return sum(((c * F.log(F.greatest(c, F.lit(1e-9)))) for c in counts[1:]), counts[0] * F.log(F.greatest(counts[0], F.lit(1e-9))))
 
 
-def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_label: int = 12_000, least: float = 12.0, sizes: tuple[int, ...] = (4, 5, 6), alpha: float = 1.0, decay: float = 1.0, steps: int = 300) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows_per_label: int = 12_000, information: float = 0.002, least: float = 12.0, sizes: tuple[int, ...] = (4, 5, 6), alpha: float = 1.0, decay: float = 1.0, steps: int = 300) -> Model:
     """The model of `labels` (doc_id, label 0 or 1) over their docs.
 
     It is fitted on at most `rows_per_label` labelled rows of each label, those whose doc_id has the smallest hash;
     this bound is the only thing that keeps rows out, and the intercept is set right for it by the counts of all
     labels. Spark counts how many of these texts of each label hold an n-gram; each n-gram's log-count ratio
-    r = log((p + alpha) / |p|) - log((q + alpha) / |q|) scales its 0/1 feature. All n-grams whose counts differ between
-    the labels beyond chance (their log-likelihood ratio G2 is `least` or more; 12 is passed by one in two thousand
-    that don't differ) get weights by logistic regression with L2 decay on those scaled features.
+    r = log((p + alpha) / |p|) - log((q + alpha) / |q|) scales its 0/1 feature. All n-grams that tell `information` nats
+    or more of a text's label (the mutual information of both) and more than chance (their log-likelihood ratio G2,
+    which is that times twice the texts, is `least` or more; 12 is passed by one in two thousand that tell nothing)
+    get weights by logistic regression with L2 decay on those scaled features.
     An id with several rows in docs gives one of them, that with the smallest text. Null labels and doc_ids are left out; of labels that contradict each other the larger counts. If one label is
     missing altogether, the score of all texts is the smoothed share of label 1.
     """
@@ -132,7 +133,7 @@ def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
     held = _ngrams(rows, sizes).groupBy("gram").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("p"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).cast("double").alias("q"))
     p, q, total = F.col("p"), F.col("q"), float(m0 + m1)
     told = _entropy(p, q, m1 - p, m0 - q) - _entropy(p + q, F.lit(total) - p - q) - _entropy(F.lit(float(m1)), F.lit(float(m0))) + _entropy(F.lit(total))
-    best = held.withColumn("told", F.round(2 * told, 6)).where(F.col("told") >= least).select("gram", "p", "q").toArrow()  # as many as the bounded sample has
+    best = held.withColumn("told", F.round(2 * told, 6)).where(F.col("told") >= max(least, 2 * total * information)).select("gram", "p", "q").toArrow()  # as many as the bounded sample has
     keys = np.array(best.column("gram"), dtype=np.int64).view(np.uint64)
     order = np.argsort(keys)
     p_, q_ = (np.array(best.column(c), dtype=np.float64)[order] for c in ("p", "q"))
