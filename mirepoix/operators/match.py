@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,17 +34,24 @@ def cascade(rows: DataFrame, steps: Sequence[tuple[str, Column, DataFrame, str,
 
 
 def token_candidates(queries: DataFrame, q_id: str, q_text: str, pool: DataFrame, p_id: str, p_text: str, k: int, stop_share: float = 0.2) -> DataFrame:
-    """(q_id, p_id, shared, n_q, n_p, nth): for each query the k pool rows that share most of its words, ties by p_id.
+    """(q_id, p_id, shared, nth): for each query the k pool rows that share most of its distinct words, ties by p_id.
 
-    Joined on words. Words in over stop_share of the pool's rows select nothing and are no ground for a candidate;
-    they are counted for those that others bring. So no word pairs a large part of both sides.
+    Candidates come from a join on the words in up to stop_share of the pool's rows; all words of a candidate are
+    counted. A row that shares frequent words alone shares no more than a query has of them: only queries whose k-th
+    candidate doesn't beat that are joined on all words, too. So the result is that of a join on all words.
     """
-    words = lambda df, i, t: df.select(F.col(i), F.explode(F.array_distinct(T.words(F.col(t)))).alias("word"))
-    q, p = words(queries, q_id, q_text), words(pool, p_id, p_text)
+    tokens = lambda df, i, t: df.select(F.col(i), F.array_distinct(T.words(F.col(t))).alias("words"))
+    each = lambda df: df.select(df.columns[0], F.explode("words").alias("word"))
+    q, p = tokens(queries, q_id, q_text), tokens(pool, p_id, p_text)
     total = pool.agg(F.count("*").alias("total"))
-    rare = p.groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where(F.col("df") <= F.greatest(F.lit(1.0), stop_share * F.col("total"))).select("word")
-    pairs = q.join(rare, "word", "left_semi").join(p, "word").groupBy(q_id, p_id).agg(F.count("*").alias("shared"))
-    return top_n(pairs, [q_id], [F.desc("shared"), F.col(p_id)], k)
+    frequent = each(p).groupBy("word").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).where(F.col("df") > F.greatest(F.lit(1.0), stop_share * F.col("total"))).select("word")
+    rare = each(q).join(frequent, "word", "left_anti").join(each(p).join(frequent, "word", "left_anti"), "word").select(q_id, p_id).distinct()
+    counted = rare.join(q.withColumnRenamed("words", "q_words"), q_id).join(p, p_id).select(q_id, p_id, F.size(F.array_intersect("q_words", "words")).cast("long").alias("shared"))
+    best = top_n(counted, [q_id], [F.desc("shared"), F.col(p_id)], k)
+    hot = each(q).join(frequent, "word").groupBy(q_id).agg(F.count("*").alias("hot"))
+    open_ = hot.join(best.where(F.col("nth") == k).select(q_id, F.col("shared").alias("last")), q_id, "left").where(F.coalesce("last", F.lit(0)) <= F.col("hot")).select(q_id)
+    whole = each(q.join(open_, q_id, "left_semi")).join(each(p), "word").groupBy(q_id, p_id).agg(F.count("*").alias("shared"))
+    return best.join(open_, q_id, "left_anti").unionByName(top_n(whole, [q_id], [F.desc("shared"), F.col(p_id)], k))
 
 
 def contained(queries: DataFrame, q_id: str, q_text: str, pool: DataFrame, p_id: str, p_text: str) -> DataFrame:
@@ -57,13 +66,14 @@ def contained(queries: DataFrame, q_id: str, q_text: str, pool: DataFrame, p_id:
 def bm25(docs: DataFrame, doc_id: str, tokens: Column, terms: Sequence[str], k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """(doc_id, score) of the documents that have a term, scores divided by the largest.
 
-    Terms are a set. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). One scan gives N, the mean length and all document
-    frequencies (a row); the second scores each document from its own term counts, without a shuffle of tokens.
+    Terms are a set. idf = ln(1 + (N - df + 0.5) / (df + 0.5)). Texts are split once: each document's length and term
+    counts, a few numbers, are kept for the passes that need them (for N, the mean length and document frequencies, for
+    the largest score, for the scores).
     """
     terms = sorted(set(terms))
     equal = lambda term: lambda x: x == term
     tf = [F.size(F.filter("tokens", equal(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    rows = docs.select(F.col(doc_id), tokens.alias("tokens")).select(doc_id, F.size("tokens").alias("len"), *tf)
+    rows = docs.select(F.col(doc_id), tokens.alias("tokens")).select(doc_id, F.size("tokens").alias("len"), *tf).persist(StorageLevel.MEMORY_AND_DISK)
     facts = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
     hit = rows.where(" or ".join(f"tf{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(facts))
     norm = k1 * (1 - b + b * F.col("len") / F.greatest(F.col("avg_len"), F.lit(1e-9)))
@@ -102,8 +112,10 @@ def fused(arms: Sequence[DataFrame], key: str, order: Sequence[Column], pool: in
 
 def normalised(rows: DataFrame, keys: Sequence[str], score: str, out: str) -> DataFrame:
     """score over its group's largest; as it is where that is not positive."""
-    most = F.max(score).over(W.partitionBy(*keys))
-    return rows.withColumn(out, F.when(most > 0, F.col(score) / most).otherwise(F.col(score)))
+    most = rows.groupBy(*(F.col(c).alias(f"key{i}__") for i, c in enumerate(keys))).agg(F.max(score).alias("most__"))
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"key{i}__")) for i, c in enumerate(keys)))
+    share = F.when(F.col("most__") > 0, F.col(score) / F.col("most__")).otherwise(F.col(score))
+    return rows.join(most, same, "left").select(*rows.columns, share.alias(out))
 
 
 def rerank_score(similarity: Column, lexical: Column, rrf: Column, overlap: Column, n_query: Column, curated: Column, raw: Column, clash: Column) -> Column:
@@ -134,25 +146,22 @@ def mutual_best(pairs: DataFrame, left: str, right: str, score: str) -> DataFram
     return pairs.withColumns({"l__": by_left, "r__": by_right}).where("l__ = 1 and r__ = 1").drop("l__", "r__")
 
 
-def one_to_one(pairs: DataFrame, left: str, right: str, score: str, rounds: int = 20) -> DataFrame:
+def one_to_one(pairs: DataFrame, left: str, right: str, score: str) -> DataFrame:
     """The greedy one-to-one matching by score (ties by left, then right id): best pair first, both ends used once.
 
     A pair that is the best of both its ends is in it, so each round takes all such pairs at once and drops the pairs of
-    their ends; it ends when no pair is left, or after `rounds` rounds with an error. Each round cuts the lineage.
+    their ends, the best pair of all among them; it ends when no pair is left. Each round cuts the lineage.
     """
-    from functools import reduce
-
     pairs.sparkSession.sparkContext.getCheckpointDir() or _local_checkpoints(pairs.sparkSession)
     left_over, taken = pairs.checkpoint(), []
     order = [F.desc(score), F.col(left), F.col(right)]
-    for _ in range(rounds):
+    while True:
         by = lambda c: F.row_number().over(W.partitionBy(c).orderBy(*order))
         best = left_over.withColumns({"l__": by(left), "r__": by(right)}).where("l__ = 1 and r__ = 1").drop("l__", "r__").checkpoint()
         taken.append(best)
         left_over = left_over.join(best.select(left), left, "left_anti").join(best.select(right), right, "left_anti").select(pairs.columns).checkpoint()
         if left_over.isEmpty():
             return reduce(DataFrame.union, taken)
-    raise RuntimeError(f"pairs are left after {rounds} rounds")
 
 
 def _local_checkpoints(spark) -> None:

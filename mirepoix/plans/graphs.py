@@ -164,9 +164,9 @@ def orphan_nodes(spark, sf_dir):
     return graph.orphans(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey", [(line.where("l_quantity > 45"), "l_partkey"), (line, "l_suppkey")])
 
 
-@query("stale_derived_rows", "SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 0)")
+@query("stale_derived_rows", "SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = l_suppkey AND s_acctbal > 3000)")
 def stale_derived_rows(spark, sf_dir):
-    live = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    live = table(spark, sf_dir, "supplier").where("s_acctbal > 3000").select(F.col("s_suppkey").alias("l_suppkey"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey").distinct().join(live, "l_suppkey", "left_anti").select("l_orderkey", "l_suppkey")
 
 

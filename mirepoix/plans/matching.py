@@ -41,7 +41,7 @@ def fallback_join(spark, sf_dir):
 @query(
     "fuzzy_block_join",
     """WITH q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS word FROM benchmark), p AS (SELECT conv_id * 100 + turn AS msg, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS word FROM conversations),
-rare AS (SELECT word FROM p GROUP BY word HAVING count(*) <= greatest(1.0, 0.2 * (SELECT count(*) FROM conversations))), s AS (SELECT item_id, msg, count(*) AS shared FROM q JOIN rare USING (word) JOIN p USING (word) GROUP BY ALL),
+s AS (SELECT item_id, msg, count(*) AS shared FROM q JOIN p USING (word) GROUP BY ALL),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, msg) AS INT) AS nth FROM s) SELECT * FROM r WHERE nth <= 5""",
 )
 def fuzzy_block_join(spark, sf_dir):
@@ -73,13 +73,13 @@ def qualifier_variant(spark, sf_dir):
 _BM25_TERMS = ("the", "thst", "erea", "ththou")
 
 
-@query(
-    "bm25_topk",
-    f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), f AS (SELECT count(*) AS n, avg(len(w)) AS avg_len, {", ".join(f"count(*) FILTER (list_contains(w, '{x}')) AS df{i}" for i, x in enumerate(sorted(_BM25_TERMS)))} FROM t),
+_BM25 = f"""t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), f AS (SELECT count(*) AS n, avg(len(w)) AS avg_len, {", ".join(f"count(*) FILTER (list_contains(w, '{x}')) AS df{i}" for i, x in enumerate(sorted(_BM25_TERMS)))} FROM t),
 s AS (SELECT doc_id, {" + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.5 / (tf{i} + 1.5 * (0.25 + 0.75 * l / avg_len))" for i in range(len(_BM25_TERMS)))} AS score
-  FROM (SELECT doc_id, len(w) AS l, {", ".join(f"len(list_filter(w, lambda x: x = '{x}')) AS tf{i}" for i, x in enumerate(sorted(_BM25_TERMS)))} FROM t), f)
-SELECT doc_id, round(score / (SELECT max(score) FROM s), 5) AS score FROM s WHERE score > 0 ORDER BY round(score / (SELECT max(score) FROM s), 5) DESC, doc_id LIMIT 25""",
-)
+  FROM (SELECT doc_id, len(w) AS l, {", ".join(f"len(list_filter(w, lambda x: x = '{x}')) AS tf{i}" for i, x in enumerate(sorted(_BM25_TERMS)))} FROM t), f),
+top AS (SELECT doc_id, round(score / (SELECT max(score) FROM s), 5) AS score FROM s WHERE score > 0 ORDER BY round(score / (SELECT max(score) FROM s), 5) DESC, doc_id LIMIT 25)"""
+
+
+@query("bm25_topk", f"WITH {_BM25} SELECT * FROM top")
 def bm25_topk(spark, sf_dir):
     scored = X.bm25(table(spark, sf_dir, "documents"), "doc_id", T.words(F.col("text")), _BM25_TERMS)
     return scored.select("doc_id", F.round("score", 5).alias("score")).orderBy(F.desc("score"), "doc_id").limit(25)
@@ -110,12 +110,12 @@ def cosine_topk(spark, sf_dir):
 
 @query(
     "rrf_hybrid",
-    f"""WITH {_Q}, v AS (SELECT vec_id, row_number() OVER (ORDER BY {_SIM} DESC, vec_id) AS r FROM embeddings e, q), l AS (SELECT doc_id AS vec_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents)
+    f"""WITH {_Q}, v AS (SELECT vec_id, row_number() OVER (ORDER BY {_SIM} DESC, vec_id) AS r FROM embeddings e, q), {_BM25}, l AS (SELECT doc_id AS vec_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r FROM top)
 SELECT vec_id, round(sum(1.0 / (60 + r)), 8) AS rrf FROM (SELECT * FROM v WHERE r <= 25 UNION ALL SELECT * FROM l WHERE r <= 25) GROUP BY vec_id""",
 )
 def rrf_hybrid(spark, sf_dir):
     vector = X.cosine_topk(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", _query_vector(spark, sf_dir), 25).select("vec_id", F.col("similarity").alias("score"))
-    lexical = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("n_chars").cast("double").alias("score"))
+    lexical = bm25_topk(spark, sf_dir).withColumnRenamed("doc_id", "vec_id")
     return X.fused([vector, lexical], "vec_id", [F.desc("score"), F.col("vec_id")]).select("vec_id", F.round("rrf", 8).alias("rrf"))
 
 

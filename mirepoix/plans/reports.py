@@ -222,12 +222,12 @@ def upper_median(spark, sf_dir):
 
 @query(
     "pairwise_agreement",
-    """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, 1, 120)), '[a-z]+')) AS b FROM benchmark)
+    """WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS a, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \n]+'), lambda x: x <> '')) AS b FROM benchmark)
 SELECT item_id, len(list_intersect(a, b)) AS shared, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 5) AS jaccard, len(a) = len(b) AS exact FROM w""",
 )
 def pairwise_agreement(spark, sf_dir):
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    rows = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("a"), words(F.substring("text", 1, 120)).alias("b"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", words("text").alias("a"), F.array_distinct(F.filter(F.split(F.lower("text"), "[ \n]+"), lambda x: x != "")).alias("b"))
     shared = F.size(F.array_intersect("a", "b"))
     return rows.select("item_id", shared.cast("long").alias("shared"), F.round(shared / F.size(F.array_union("a", "b")), 5).alias("jaccard"), (F.size("a") == F.size("b")).alias("exact"))
 

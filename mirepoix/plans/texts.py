@@ -20,12 +20,12 @@ def _sql_singular(w: str) -> str:
 
 @query(
     "dish_family",
-    f"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_split_to_array(lower(left(text, 60)), '\\s+(?:with|on|served|topped|and served|in|drizzled)\\s+')[1], '[a-z]+') AS w FROM documents WHERE lang = 'en'),
+    f"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_split_to_array(lower(string_split(text, chr(10))[1]), '\\s+(?:with|on|served|topped|and served|in|drizzled)\\s+')[1], '[a-z]+') AS w FROM documents WHERE lang = 'en'),
 h AS (SELECT doc_id, coalesce(list_filter(w, lambda x: x NOT IN ({", ".join(f"'{q}'" for q in T.QUALIFIERS)}))[-1], w[-1]) AS head FROM t)
 SELECT family, count(*) AS n FROM (SELECT coalesce({_sql_singular('head')}, '') AS family FROM h) GROUP BY family""",
 )
 def dish_family(spark, sf_dir):
-    titles = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.left("text", F.lit(60)).alias("title"))
+    titles = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"))
     return titles.groupBy(T.dish_family(F.col("title")).alias("family")).agg(F.count("*").alias("n"))
 
 
@@ -88,11 +88,13 @@ def fuzzy_match(spark, sf_dir):
 
 @query(
     "token_jaccard",
-    """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 400)), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(right(text, 400)), '[a-z0-9]+')) AS b FROM documents)
+    """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, length(string_split(text, chr(10))[1]) + 1)), '[a-z0-9]+')) AS b FROM documents)
 SELECT doc_id, floor(len(list_intersect(a, b)) / nullif(len(list_distinct(list_concat(a, b))), 0) * 100000 + 0.3) / 100000 AS jaccard, floor(coalesce(2.0 * len(list_intersect(a, b)) / nullif(len(a) + len(b), 0), 0.0) * 100000 + 0.3) / 100000 AS f1 FROM t""",
 )
 def token_jaccard(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(F.left("text", F.lit(400)))).alias("a"), F.array_distinct(T.words(F.right("text", F.lit(400)))).alias("b"))
+    title = F.split_part("text", F.lit("\n"), F.lit(1))  # the first line against all others
+    rest = F.substring("text", F.length(title) + 1, F.length("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(title)).alias("a"), F.array_distinct(T.words(rest)).alias("b"))
     return rows.select("doc_id", steady(T.jaccard(F.col("a"), F.col("b")), 5).alias("jaccard"), steady(T.overlap_f1(F.col("a"), F.col("b")), 5).alias("f1"))
 
 
@@ -125,23 +127,23 @@ def food_class(spark, sf_dir):
 
 @query(
     "class_compatibility",
-    """WITH h AS (SELECT DISTINCT string_split(p_name, ' ')[-1] AS h FROM part), bad(a, b) AS (VALUES ('bolt', 'ring'), ('gear', 'widget')) SELECT x.h AS left_head, y.h AS right_head, NOT EXISTS (SELECT 1 FROM bad WHERE a = least(x.h, y.h) AND b = greatest(x.h, y.h)) AS compatible
-FROM h x JOIN h y ON left(x.h, 1) <= left(y.h, 1) AND x.h <> y.h""",
+    """WITH h AS (SELECT DISTINCT p_type, string_split(p_name, ' ')[-1] AS h FROM part), bad(a, b) AS (VALUES ('bolt', 'ring'), ('gear', 'widget'))
+SELECT DISTINCT x.h AS left_head, y.h AS right_head, NOT EXISTS (SELECT 1 FROM bad WHERE a = least(x.h, y.h) AND b = greatest(x.h, y.h)) AS compatible FROM h x JOIN h y ON x.p_type = y.p_type AND x.h <> y.h""",
 )
 def class_compatibility(spark, sf_dir):
-    heads = table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", -1).alias("h")).distinct()
-    few = [r.h for r in heads.orderBy("h").limit(1000).collect()]  # the closed vocabulary of classes
-    pairs = heads.select(F.col("h").alias("left_head"), F.explode(F.array(*map(F.lit, few))).alias("right_head")).where("left(left_head, 1) <= left(right_head, 1) and left_head <> right_head")
+    # heads that meet under a type: a type has few of them, however many parts there are
+    heads = table(spark, sf_dir, "part").select("p_type", F.substring_index("p_name", " ", -1).alias("left_head")).distinct()
+    pairs = heads.join(heads.withColumnRenamed("left_head", "right_head"), "p_type").where("left_head <> right_head").select("left_head", "right_head").distinct()
     key = F.concat_ws("|", F.least("left_head", "right_head"), F.greatest("left_head", "right_head"))
     return pairs.select("left_head", "right_head", (~key.isin("bolt|ring", "gear|widget")).alias("compatible"))
 
 
 @query(
     "title_normalize",
-    """SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(left(text, 80)), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents""",
+    """SELECT doc_id, trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy'), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM documents""",
 )
 def title_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.title_form(F.left("text", F.lit(80))).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.title_form(F.col("text")).alias("title"))
 
 
 @query(
@@ -149,10 +151,11 @@ def title_normalize(spark, sf_dir):
     """WITH v AS (SELECT list(DISTINCT string_split(p_name, ' ')[-1]) AS v FROM part) SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: list_contains(v, w) OR w IN ('the', 'of')))), ',') AS found FROM conversations, v""",
 )
 def vocabulary_recovery(spark, sf_dir):
-    heads = table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", -1).alias("h")).distinct().orderBy("h").limit(10_000).collect()  # a closed vocabulary
-    known = F.array(*(F.lit(r.h) for r in heads), F.lit("the"), F.lit("of"))
-    found = F.array_intersect(T.words(F.col("text")), known)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.sort_array(found), ",").alias("found"))
+    said = table(spark, sf_dir, "conversations")
+    known = table(spark, sf_dir, "part").select(F.substring_index("p_name", " ", -1).alias("word")).union(spark.createDataFrame([("the",), ("of",)], "word string")).distinct()
+    words = said.select("conv_id", "turn", F.explode(F.array_distinct(T.words(F.col("text")))).alias("word"))
+    found = words.join(known, "word").groupBy("conv_id", "turn").agg(F.array_join(F.sort_array(F.collect_set("word")), ",").alias("found"))
+    return said.select("conv_id", "turn").join(found, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("found", F.lit("")).alias("found"))
 
 
 _LINES = """recipe AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_quantity AS INT) AS VARCHAR) || CASE l_linenumber % 5 WHEN 0 THEN ' g' WHEN 1 THEN ' cups' WHEN 2 THEN ' oz' WHEN 3 THEN ' tbsp' ELSE '' END AS measurement,
@@ -169,12 +172,9 @@ def unit_to_grams(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem")
     unit = F.when(F.col("l_linenumber") % 5 == 0, " g").when(F.col("l_linenumber") % 5 == 1, " cups").when(F.col("l_linenumber") % 5 == 2, " oz").when(F.col("l_linenumber") % 5 == 3, " tbsp").otherwise("")
     name = F.when(F.col("l_partkey") % 4 == 0, "olive oil").when(F.col("l_partkey") % 4 == 1, "milk").when(F.col("l_partkey") % 4 == 2, "wheat flour").otherwise("honey")
-    # equal measurements of equal foods are weighed once; there are far fewer of them than lines
     rows = line.select("l_orderkey", F.concat(F.floor("l_quantity").cast("string"), unit).alias("measurement"), name.alias("name"))
-    distinct = rows.select("name", "measurement").distinct()
     grams, how = M.grams(F.col("name"), F.col("measurement"), F.lit(50.0))
-    weighed = distinct.select("name", "measurement", grams.alias("grams"), how.alias("how"))
-    return rows.join(weighed, ["name", "measurement"]).groupBy("l_orderkey", "how").agg(F.count("*").alias("n"), F.round(F.sum("grams"), 3).alias("grams"))
+    return rows.select("l_orderkey", how.alias("how"), grams.alias("grams")).groupBy("l_orderkey", "how").agg(F.count("*").alias("n"), F.round(F.sum("grams"), 3).alias("grams"))
 
 
 @query(
