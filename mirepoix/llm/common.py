@@ -42,9 +42,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, text: int, rows: int = 256, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of up to `rows` rows whose texts, in column number `text`, have up to `size` bytes; longer texts alone."""
-    upto = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64))])
+def slices(batch: pa.RecordBatch, text: int | pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of up to `rows` rows whose texts (or column number `text`) have up to `size` bytes; longer texts alone."""
+    texts = batch.column(text) if isinstance(text, int) else text
+    upto = np.concatenate([[0], np.cumsum(np.array(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))])
     at = 0
     while at < batch.num_rows:
         to = min(max(at + 1, int(np.searchsorted(upto, upto[at] + size, side="right")) - 1), at + rows)

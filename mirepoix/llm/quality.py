@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from mirepoix.llm.common import settled, slices
 ORDER, _BITS = 4, 7
 _SYMBOLS = 1 << _BITS
 _BLOCK = 1 << 20
+#: The name under which a whole row is measured.
+ROW = "whole__row"
 
 
 def _symbol_table() -> np.ndarray:
@@ -244,12 +247,17 @@ def measured(docs: DataFrame, models: dict[str, Language] | None, doc_id: str =
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
+    inside = doc_id == ROW  # the whole row as one struct: its texts travel once
+
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in stream:
-            for batch in slices(whole, 2):
-                langs = np.array(batch.column(1).to_pylist())
+            for batch in slices(whole, whole.column(0).field(text) if inside else whole.column(2)):
+                rows = batch.column(0)
+                tongue = pc.fill_null(rows.field(lang).cast(pa.string()), "") if inside else batch.column(1)
+                texts = rows.field(text) if inside else batch.column(2)
+                langs = np.array(tongue.to_pylist())
                 total, length = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-                for gram, doc in _streams(batch.column(2)) if shared.value is not None else ():
+                for gram, doc in _streams(texts) if shared.value is not None else ():
                     for name in np.unique(langs):
                         here = np.flatnonzero(langs[doc] == name) if (langs != name).any() else slice(None)
                         g, d = gram[here], doc[here]
@@ -257,12 +265,14 @@ def measured(docs: DataFrame, models: dict[str, Language] | None, doc_id: str =
                             first = np.flatnonzero(np.diff(d, prepend=-1))
                             total[d[first]] += np.add.reduceat(-shared.value[str(name)].log_prob(g), first)
                             length[d[first]] += np.diff(np.append(first, len(d)))
-                counts = base_counts(batch.column(2))
+                counts = base_counts(texts)
                 entropy = pa.array(np.round(total / np.maximum(length, 1), 5), mask=length == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(counts[c]) for c in names), entropy], names=["doc_id", "lang", *names, "entropy"])
+                yield pa.RecordBatch.from_arrays([rows, tongue, *(pa.array(counts[c]) for c in names), entropy], names=["doc_id", "lang", *names, "entropy"])
+            del whole
+            pa.default_memory_pool().release_unused()
 
     kind = docs.select(doc_id).dtypes[0][1]
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *([] if inside else [F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text")]))
     return rows.mapInArrow(batches, f"doc_id {kind}, lang string, {', '.join(f'{c} long' for c in names)}, entropy double")
 
 
@@ -349,8 +359,8 @@ def judged(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
 
 def sifted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", spread: float = 6.0, most_entries: int = 4_000_000) -> DataFrame:
     """The rows of docs that `judged` keeps, with all their columns; they travel with their counts and are not shuffled."""
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    rows, failed, inside = _measured_and_limits(whole, "row", "text", "lang", spread, most_entries)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(ROW), F.col(text).alias(text), F.col(lang).alias(lang))
+    rows, failed, inside = _measured_and_limits(whole, ROW, text, lang, spread, most_entries)
     return rows.where(~failed & inside).select("doc_id.*")
 
 

@@ -298,6 +298,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                     hashes = word_hashes(x.as_py() or b"")[0]
                     made.append((wide_print(hashes, 2, bands // 2), wide_print(hashes, words, wide)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in zip(*made))], names=["doc_id", "search", "check"])
+            del whole
+            pa.default_memory_pool().release_unused()
 
     kind = docs.select(doc_id).dtypes[0][1]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
