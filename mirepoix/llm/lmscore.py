@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirepoix.llm.common import settled
+from mirepoix.llm.common import give_back, settled
 
 #: What a text is read for: to count it in one model or both, to be scored.
 BACKGROUND, TARGET, SCORED = 1, 2, 4
@@ -163,6 +163,7 @@ def _sent(blocks: DataFrame, parts: int) -> DataFrame:
                     rows.append((p, number, _packed(np.diff(block.keys[a:b], prepend=np.uint64(0))), *(_packed(c[a:b]) for c in counts)))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "block", "keys", "background", "target"])
+        give_back()
 
     return blocks.select("block", "payload", "hits").mapInArrow(batches, "part int, block long, keys binary, background binary, target binary")
 
@@ -203,6 +204,7 @@ def _losses(blocks: DataFrame, answers: DataFrame, totals: tuple[int, int, int],
         wanted = pa.array((np.array(block.table.column("sides")) & SCORED) > 0)
         n = np.bincount(block.segment, minlength=segments)
         out = pa.table([block.table.column("row"), block.table.column("doc_id"), pa.array(n), *(pa.array(sums[x], pa.float64()) for x in ("target", "background"))], names=["row", "doc_id", "n", "target", "background"])
+        give_back()
         return out.filter(wanted)
 
     kind = dict(blocks.dtypes)["ids"][6:-1]

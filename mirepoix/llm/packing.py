@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.llm.bpe import byte_symbols
-from mirepoix.llm.common import settled
+from mirepoix.llm.common import give_back, settled
 
 #: Splits a text before byte-level BPE; a fixed value of that public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -62,6 +62,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
                     cuts = [0, *range(first, len(ids) + 1, capacity)]
                     rows += [(key, k, a, b - a, ids[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()])], names=["doc_id", "piece", "start", "length", "ids"])
+        give_back()
 
     kind = docs.select(doc_id).dtypes[0][1]
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(batches, f"doc_id {kind}, piece int, start long, length long, ids binary")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mirepoix.llm.common import settled, slices
+from mirepoix.llm.common import give_back, settled, slices
 
 ORDER, _BITS = 4, 7
 _SYMBOLS = 1 << _BITS
@@ -144,6 +144,7 @@ def ngram_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
             for at in range(0, len(grams), 50_000):
                 g, n = grams[at : at + 50_000].astype(np.int64), counts[at : at + 50_000].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([str(name)] * len(g)), pa.array(g), pa.array(n)], names=["lang", "gram", "n"])
+        give_back()
 
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text"))
     return rows.mapInArrow(batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -268,8 +269,7 @@ def measured(docs: DataFrame, models: dict[str, Language] | None, doc_id: str =
                 counts = base_counts(texts)
                 entropy = pa.array(np.round(total / np.maximum(length, 1), 5), mask=length == 0)
                 yield pa.RecordBatch.from_arrays([rows, tongue, *(pa.array(counts[c]) for c in names), entropy], names=["doc_id", "lang", *names, "entropy"])
-            del whole
-            pa.default_memory_pool().release_unused()
+        give_back()
 
     kind = docs.select(doc_id).dtypes[0][1]
     rows = docs.select(F.col(doc_id).alias("doc_id"), *([] if inside else [F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("text")]))

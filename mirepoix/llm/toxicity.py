@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirepoix.llm.common import settled, slices
+from mirepoix.llm.common import give_back, settled, slices
 
 _HASH, _BASE, _BITS, _RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 20, 1 << 18
 
@@ -96,6 +96,7 @@ def _ngrams(rows: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
                     if held:
                         grams, counts = np.unique(np.concatenate(held), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(np.full(len(grams), label, np.int32)), pa.array(counts)], names=["gram", "label", "n"])
+        give_back()
 
     return rows.select("text", "label").mapInArrow(batches, "gram long, label int, n long")
 
@@ -195,6 +196,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
         for whole in stream:
             for batch in slices(whole, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(batch.column(1)))], names=["doc_id", "score"])
+        give_back()
 
     kind = docs.select(doc_id).dtypes[0][1]
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(batches, f"doc_id {kind}, score double")
@@ -225,5 +227,6 @@ def sifted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **setting
         for whole in stream:
             for batch in slices(whole, place):
                 yield batch.filter(pa.array(shared.value.scores(batch.column(place)) < threshold))
+        give_back()
 
     return docs.mapInArrow(batches, docs.schema)
