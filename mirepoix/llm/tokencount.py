@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -17,18 +19,37 @@ from mirepoix.llm.packing import byte_encoding
 END_ID = 50256
 
 
-def read_blocks(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = 1 << 18) -> DataFrame:
-    """(file, block, payload) of the flat token files at path: each file's bytes, cut every block_tokens tokens."""
+def read_blocks(spark: SparkSession, path: str, dtype: str = "<u2", block_tokens: int = 1 << 18, run: int = 32) -> DataFrame:
+    """(file, block, payload) of the flat token files at path: each file's bytes, cut every block_tokens tokens.
+
+    Spark lists the files' names and sizes alone; runs of `run` blocks are dealt to tasks, which read just their ranges,
+    a block at a time, so files may have any size. Executors open the files through pyarrow's file systems, so path
+    must be one of a scheme that these know (local or mounted folders, HDFS, S3, GCS). An empty file has no blocks.
+    """
     size = block_tokens * np.dtype(dtype).itemsize
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length").where("length > 0")
+    last = F.expr(f"(length - 1) div {size * run}")
+    n_runs = files.agg(F.coalesce(F.sum(last + 1), F.lit(0))).first()[0]
+    runs = files.select("file", "length", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("run"))
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data = memoryview(content.as_buffer())
-                for block, at in enumerate(range(0, len(data), size)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([bytes(data[at : at + size])], pa.binary())], names=["file", "block", "payload"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(batches, "file string, block long, payload binary")
+            for name, length, nth in zip(*(c.to_pylist() for c in batch.columns)):
+                with opened(name) as file:
+                    file.seek(nth * run * size)
+                    for block in range(nth * run, min((nth + 1) * run, -(-length // size))):
+                        data = file.read(min(size, length - block * size))
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([data], pa.binary())], names=["file", "block", "payload"])
+
+    # by number: the listing is small, so that AQE would else put all ranges in one task
+    return runs.repartition(max(1, min(n_runs, max(spark.sparkContext.defaultParallelism, n_runs // 8)))).mapInArrow(batches, "file string, block long, payload binary")
+
+
+def opened(name: str) -> pa.NativeFile:
+    """A file for reading at any place, by its path as Spark writes it (file:/a, hdfs://host/a)."""
+    scheme, rest = name.split(":", 1)
+    files, path = FileSystem.from_uri(f"{scheme}://{quote('/' + rest.lstrip('/') if scheme == 'file' else rest[2:], safe='/:@')}")
+    return files.open_input_file(path)
 
 
 def token_blocks(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", block_tokens: int = 1 << 18) -> DataFrame:

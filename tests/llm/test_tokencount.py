@@ -37,3 +37,17 @@ def test_counts_of_documents(spark):
     assert isinstance(plain, tiktoken.Encoding)
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in rows) == [(-1, 1), *((i, len(plain.encode_ordinary(t or ""))) for i, t in enumerate(texts))]
     assert tokencount.document_token_counts(docs.limit(0), RANKS).collect() == []
+
+
+def test_ranges_of_files_with_odd_names(spark, tmp_path):
+    want = {}
+    for name, n in (("a b%41.bin", 1000), ("ü.bin", 64 * 5), ("c.bin", 1), ("none.bin", 0)):
+        want[name] = np.arange(n, dtype="<u2").tobytes()
+        (tmp_path / name).write_bytes(want[name])
+    blocks = tokencount.read_blocks(spark, f"{tmp_path}/*.bin", block_tokens=5, run=3)
+    assert blocks.rdd.getNumPartitions() > 1
+    got = {name: b"" for name in want}
+    for r in blocks.orderBy("file", "block").collect():
+        assert 0 < len(r.payload) <= 10
+        got[r.file.rsplit("/", 1)[1]] += r.payload
+    assert got == want
