@@ -170,3 +170,34 @@ def _local_checkpoints(spark) -> None:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mirepoix-"))
+
+
+def realigned(recipes: DataFrame, names: str = "names", measurements: str = "measurements", out: str = "realigned") -> DataFrame:
+    """recipes with `out`: each recipe's measurements put to the names that they mention.
+
+    Names are taken in order: one that just one measurement not yet taken mentions takes it. Places still open get
+    the rest in their order, and measurements beyond the names stay at the end. A measurement mentions a name that it
+    contains whole or whose words it shares one of, plurals as singulars. A recipe's arrays are worked on in place, without a shuffle.
+    A null array gives a null; nothing to take or to place leaves the measurements as they are.
+    """
+    normal = lambda c: F.transform(c, lambda x: F.transform(T.words(x), T.singular_head))
+    n, m, m_words, n_words = F.col("realign__n"), F.col(measurements), F.col("realign__m"), F.col("realign__names")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def mentions(of, name):
+        words = F.get(n_words, name)
+        said = F.get(m_words, of)
+        return (F.size(words) > 0) & (F.arrays_overlap(said, words) | F.contains(F.array_join(said, " "), F.array_join(words, " ")))
+
+    def step(slots, name):
+        free = F.filter(places, lambda of: ~F.array_contains(slots, of) & F.coalesce(mentions(of, name), F.lit(False)))
+        return F.transform(F.array(free), lambda f: F.array_append(slots, F.when(F.size(f) == 1, F.get(f, F.lit(0))).otherwise(F.lit(-1))))[0]
+
+    slots, rest = F.col("realign__slots"), F.col("realign__rest")
+    opened = lambda i: F.size(F.filter(F.slice(slots, 1, i + 1), lambda x: x < 0)) - 1
+    placed = F.transform(slots, lambda x, i: F.get(m, F.when(x >= 0, x).otherwise(F.get(rest, opened(i)))))
+    rows = recipes.withColumns({"realign__n": F.least(F.size(names), F.size(measurements)), "realign__m": normal(F.col(measurements)), "realign__names": normal(F.col(names))})
+    rows = rows.withColumn("realign__slots", F.aggregate(places, F.array().cast("array<int>"), step))
+    rows = rows.withColumn("realign__rest", F.filter(places, lambda of: ~F.array_contains(slots, of)))
+    whole = F.concat(placed, F.slice(m, n + 1, F.greatest(F.size(m) - n, F.lit(0))))
+    return rows.select(*[F.col(f"`{c}`") for c in recipes.columns if c != out], F.when(F.col(names).isNotNull() & m.isNotNull(), F.when(n > 0, whole).otherwise(m)).alias(out))

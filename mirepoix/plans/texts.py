@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mirepoix.functions import measures as M
 from mirepoix.functions import text as T
+from mirepoix.operators import match
 from mirepoix.plans.registry import query
 from mirepoix.plans.tables import steady, table
 
@@ -177,6 +178,52 @@ def unit_to_grams(spark, sf_dir):
     return rows.select("l_orderkey", how.alias("how"), grams.alias("grams")).groupBy("l_orderkey", "how").agg(F.count("*").alias("n"), F.round(F.sum("grams"), 3).alias("grams"))
 
 
+@query(
+    "quantity_parse",
+    """WITH q AS (SELECT DISTINCT CAST(l_quantity AS INT) AS q, l_linenumber % 6 AS kind FROM lineitem)
+SELECT CASE kind WHEN 0 THEN q || ' g' WHEN 1 THEN q || ' 1/2 cups' WHEN 2 THEN '1/' || q || ' tsp' WHEN 3 THEN q || '-' || (q + 2) || ' oz' WHEN 4 THEN q || '½ tbsp' ELSE 'Dozen' END AS measurement,
+  round(CASE kind WHEN 0 THEN q WHEN 1 THEN q + 0.5 WHEN 2 THEN 1.0 / q WHEN 3 THEN q + 1 WHEN 4 THEN q + 0.5 ELSE 12 END, 6)::DOUBLE AS amount FROM q GROUP BY ALL""",
+)
+def quantity_parse(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("int").cast("string").alias("q"), (F.col("l_linenumber") % 6).alias("kind")).distinct()
+    forms = [F.concat("q", F.lit(" g")), F.concat("q", F.lit(" 1/2 cups")), F.concat(F.lit("1/"), "q", F.lit(" tsp")), F.concat("q", F.lit("-"), (F.col("q").cast("int") + 2).cast("string"), F.lit(" oz")), F.concat("q", F.lit("½ tbsp"))]
+    text = F.coalesce(*(F.when(F.col("kind") == k, form) for k, form in enumerate(forms)), F.lit("Dozen"))
+    return rows.select(text.alias("measurement")).distinct().select("measurement", F.round(T.quantity(F.col("measurement")), 6).alias("amount"))
+
+
+@query(
+    "line_split",
+    """SELECT measurement, p_name AS name, count(*) AS n FROM (SELECT p_name, CAST(l_quantity AS INT) || CASE l_linenumber % 5 WHEN 0 THEN ' g' WHEN 1 THEN ' 1/2 cups' WHEN 2 THEN ' (400 g) cans' WHEN 3 THEN ' tbsp' ELSE '' END AS measurement
+  FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY ALL""",
+)
+def line_split(spark, sf_dir):
+    unit = F.coalesce(*(F.when(F.col("l_linenumber") % 5 == k, u) for k, u in enumerate([" g ", "½ cups of ", " (400 g) cans ", "  tbsp "])), F.lit(" "))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    measurement, name = M.split_line(F.concat(F.col("l_quantity").cast("int").cast("string"), unit, "p_name"))
+    return lines.select(measurement.alias("measurement"), name.alias("name")).groupBy("measurement", "name").agg(F.count("*").alias("n"))
+
+
+@query(
+    "realign_lines",
+    """WITH RECURSIVE l AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n, p_name AS name, CAST(l_quantity AS INT) AS q, l_linenumber % 3 AS kind FROM lineitem JOIN part ON l_partkey = p_partkey),
+m AS (SELECT a.k, a.pos, a.n, a.name, a.q || CASE WHEN a.kind = 0 THEN ' g' ELSE ' ' || b.name || 's' END AS said, CASE WHEN a.kind = 0 THEN [a.q::VARCHAR, 'g'] ELSE list_concat([a.q::VARCHAR], string_split(b.name, ' ')) END AS words FROM l a JOIN l b ON a.k = b.k AND b.pos = a.pos % a.n + 1),
+r AS (SELECT k, n, list(string_split(name, ' ') ORDER BY pos) AS names, list(said ORDER BY pos) AS said, list(words ORDER BY pos) AS words FROM m GROUP BY k, n),
+w AS (SELECT k, n, 0 AS i, CAST([] AS BIGINT[]) AS slots, names, words FROM r UNION ALL
+  SELECT k, n, i + 1, list_append(slots, CASE WHEN len(free) = 1 THEN free[1] ELSE -1 END), names, words FROM (SELECT *, list_filter(range(1, n + 1), lambda x: NOT list_contains(slots, x) AND list_has_any(words[x], names[i + 1])) AS free FROM w WHERE i < n)),
+f AS (SELECT w.k, r.said, slots, list_filter(range(1, w.n + 1), lambda x: NOT list_contains(slots, x)) AS rest FROM w JOIN r ON w.k = r.k WHERE i = w.n)
+SELECT k AS l_orderkey, array_to_string(list_transform(slots, lambda x, i: said[CASE WHEN x > 0 THEN x ELSE rest[len(list_filter(slots[1:i], lambda y: y < 0))] END]), '; ') AS realigned, array_to_string(said, '; ') AS given FROM f""",
+)
+def realign_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity", F.col("p_name").alias("name"))
+    recipes = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    following = lambda i: F.get("lines", (i + 1) % F.size("lines"))["name"]
+    amount = lambda x: x["l_quantity"].cast("int").cast("string")
+    said = F.transform("lines", lambda x, i: F.concat(amount(x), F.when(x["l_linenumber"] % 3 == 0, " g").otherwise(F.concat(F.lit(" "), following(i), F.lit("s")))))
+    made = match.realigned(recipes.select("l_orderkey", F.col("lines.name").alias("names"), said.alias("measurements")))
+    return made.select("l_orderkey", F.array_join("realigned", "; ").alias("realigned"), F.array_join("measurements", "; ").alias("given"))
+
+
 @query(
     "mixed_fractions",
     """WITH v AS (SELECT DISTINCT l_quantity / 8 AS v FROM lineitem), p AS (SELECT v, floor(v) AS w, v - floor(v) AS r FROM v), l AS (SELECT v, w, CASE WHEN r < 0.02 THEN '' WHEN r > 0.98 THEN '+' WHEN abs(r - 0.125) < 0.02 THEN '1/8' WHEN abs(r - 0.25) < 0.02 THEN '1/4' WHEN abs(r - 1/3) < 0.02 THEN '1/3'

@@ -182,3 +182,20 @@ def test_cosine_and_sequence_ratio(spark):
 def test_digest_ignores_order_case_and_repeats(spark):
     (a,), (b,), (c,) = values(spark, [(["x", " Y "],), (["y", "X", "x", ""],), (["z"],)], "v array<string>", T.digest(F.col("v")))
     assert a == b != c
+
+
+def test_realigned_measurements(spark):
+    cases = [
+        (["olive oil", "tomatoes", "salt"], ["2 large tomatoes", "1 tbsp oil", "a pinch"], ["1 tbsp oil", "2 large tomatoes", "a pinch"]),
+        (["flour", "milk"], ["1 cup", "2 g", "3 oz"], ["1 cup", "2 g", "3 oz"]),
+        (["egg", "egg", "milk"], ["1 cup milk", "2 eggs", "3 eggs"], ["2 eggs", "3 eggs", "1 cup milk"]),
+        (["egg", None, ""], ["1 g", None, "2 eggs"], ["2 eggs", "1 g", None]),
+        ([], ["1 g"], ["1 g"]),
+        (["salt"], [], []),
+        (None, ["1 g"], None),
+        (["salt"], None, None),
+    ]
+    rows = spark.createDataFrame([(i, n, m) for i, (n, m, _) in enumerate(cases)], "id int, names array<string>, measurements array<string>")
+    got = {r.id: r.realigned for r in match.realigned(rows).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+    assert match.realigned(rows.limit(0)).collect() == []
