@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mirepoix.plans import adaptation, documents, graphs, matching, nutrition, registry, reports, rules, searches, sync, texts
+from mirepoix.plans import adaptation, cleaning, documents, graphs, matching, nutrition, registry, reports, rules, searches, sync, texts
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,25 +36,66 @@ def facet_counts(rows: DataFrame, fields: Sequence[str], size: int | None = None
 
 def folded(counts: DataFrame, value: str, mapping: DataFrame, variant: str, canonical: str, n: str = "n") -> DataFrame:
     """Counts of variants summed under their canonical value; values without a variant row stay."""
-    joined = counts.join(F.broadcast(mapping), counts[value] == mapping[variant], "left")
+    joined = counts.join(mapping, counts[value] == mapping[variant], "left")
     keys = [c for c in counts.columns if c not in (value, n)]
     return joined.groupBy(*keys, F.coalesce(canonical, value).alias(value)).agg(F.sum(n).alias(n))
 
 
+def _counted(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(g__, v__, c__): how often each value occurs with each keys; counted once, as it is read several times."""
+    each = rows.where(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("g__"), F.col(value).cast("double").alias("v__"))
+    return each.agg(F.count("*").alias("c__")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _distribution(counted: DataFrame, keys: Sequence[str], shares: dict[str, float], bins: int = 1 << 16) -> DataFrame:
+    """(keys, n, mean, least, most, a column for each share) from _counted rows: exact quantiles, interpolated between neighbours.
+
+    Each group's range is cut into bins of equal width on a logarithmic scale, whose counts tell which bins hold the
+    wanted ranks; the values of these alone are sorted, so that no task sorts a group whole. Values must be finite.
+    """
+    v, n = F.col("v__"), F.sum("c__")
+    stats = counted.groupBy("g__").agg(n.alias("n"), (F.sum(v * F.col("c__")) / n).alias("mean"), F.min("v__").alias("least"), F.max("v__").alias("most"))
+    scaled = lambda c: F.signum(c) * F.log1p(F.abs(c))
+    span = F.nullif(scaled(F.col("most")) - scaled(F.col("least")), F.lit(0.0))
+    bin_ = F.coalesce(F.floor((scaled(v) - scaled(F.col("least"))) / span * (bins - 1)), F.lit(0))
+    binned = counted.join(stats.select("g__", "least", "most"), "g__").select("g__", bin_.alias("b__"), "v__", "c__")
+    sums = binned.groupBy("g__", "b__").agg(F.sum("c__").alias("n__"))
+    of = W.partitionBy("g__")  # at most `bins` rows a group
+    sums = sums.withColumns({"all__": F.sum("n__").over(of), "upto__": F.sum("n__").over(of.orderBy("b__").rowsBetween(W.unboundedPreceding, W.currentRow))})
+    ends = []
+    for name, share in shares.items():
+        place = F.lit(float(share)) * (F.col("all__") - 1)
+        low = F.floor(place)
+        ends += [(name, 1 - (place - low), low), (name, place - low, F.least(low + 1, F.col("all__") - 1))]
+    before = F.col("upto__") - F.col("n__")
+    wanted = F.array(*(F.struct(F.lit(name).alias("name"), weight.alias("weight"), (rank - before).alias("rank")) for name, weight, rank in ends))
+    needed = sums.select("g__", "b__", F.filter(wanted, lambda x: (x["rank"] >= 0) & (x["rank"] < F.col("n__"))).alias("wanted__")).where("size(wanted__) > 0")
+    upto = F.sum("c__").over(W.partitionBy("g__", "b__").orderBy("v__").rowsBetween(W.unboundedPreceding, W.currentRow))
+    near = binned.join(needed, ["g__", "b__"]).withColumn("upto__", upto)
+    hit = near.select("g__", "v__", "c__", "upto__", F.inline("wanted__")).where("rank < upto__ and rank >= upto__ - c__")
+    found = hit.groupBy("g__").agg(*(F.sum(F.when(F.col("name") == name, F.col("weight") * v)).alias(name) for name in shares))
+    return stats.join(found, "g__").select(*(F.col("g__")[k].alias(k) for k in keys), "n", "mean", "least", "most", *shares)
+
+
+def distribution(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(keys, n, mean, least, most, a column for each share): exact figures of the values that aren't null, quantiles interpolated."""
+    return _distribution(_counted(rows, keys, value), keys, shares)
+
+
 def summary(rows: DataFrame, keys: Sequence[str], measures: Sequence[str], digits: int = 4) -> DataFrame:
     """(keys, measure, n, mean, median, least, most) of each measure: unpivoted, exact medians, nulls left out."""
-    long = rows.unpivot(list(keys), list(measures), "measure", "value").where("value is not null")
-    r = lambda c: F.round(c, digits)
-    return long.groupBy(*keys, "measure").agg(F.count("*").alias("n"), r(F.avg("value")).alias("mean"), r(F.median("value")).alias("median"), r(F.min("value")).alias("least"), r(F.max("value")).alias("most"))
+    long = rows.unpivot(list(keys), list(measures), "measure", "value")
+    found = distribution(long, [*keys, "measure"], "value", {"median": 0.5})
+    return found.select(*keys, "measure", "n", *(F.round(c, digits).alias(c) for c in ("mean", "median", "least", "most")))
 
 
 def outliers(rows: DataFrame, keys: Sequence[str], value: str, fence: float = 1.5) -> DataFrame:
     """(keys, n, mean, median, q1, q3, high, n_outliers): Tukey's upper fence over positive values, quartiles interpolated."""
-    positive = rows.where(F.col(value) > 0)
-    stats = positive.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    stats = stats.select(*keys, "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3")).withColumn("high", F.col("q3") + fence * (F.col("q3") - F.col("q1")))
-    beyond = positive.join(stats.select(*keys, "high"), list(keys)).groupBy(*keys).agg(F.count_if(F.col(value) > F.col("high")).alias("n_outliers"))
-    return stats.join(beyond, list(keys))
+    counted = _counted(rows.where(F.col(value) > 0), keys, value)
+    stats = _distribution(counted, keys, {"q1": 0.25, "median": 0.5, "q3": 0.75}).withColumn("high", F.col("q3") + fence * (F.col("q3") - F.col("q1")))
+    fences = stats.select(F.struct(*keys).alias("g__"), "high")
+    beyond = counted.join(fences, "g__").groupBy("g__").agg(F.sum(F.when(F.col("v__") > F.col("high"), F.col("c__")).otherwise(0)).alias("n_outliers"))
+    return stats.withColumn("g__", F.struct(*keys)).join(beyond, "g__").drop("g__", "least", "most")
 
 
 def filled_distribution(rows: DataFrame, key: str, value: str, domain: DataFrame) -> DataFrame:

@@ -62,10 +62,16 @@ def relaxed(rows: DataFrame, c: Constraints, least: int) -> DataFrame:
 
 
 def diverse(rows: DataFrame, family: str, rank: Sequence[Column], n: int, per_family: int = 1) -> DataFrame:
-    """The first n rows by rank that take at most per_family of each family, filled up with the others in rank order."""
-    nth = F.row_number().over(W.partitionBy(family).orderBy(*rank))
-    later = (F.col(family) != "") & (F.col("nth__") > per_family)
-    return rows.withColumn("nth__", nth).orderBy(later, *rank).limit(n).drop("nth__")
+    """The first n rows by rank that take at most per_family of each family, filled up with the others in rank order.
+
+    Rows without a family (null or empty) are never too many. `rank` must be a total order.
+    """
+    nth, named = F.row_number().over(W.partitionBy(family).orderBy(*rank)), F.coalesce(F.col(family) != "", F.lit(False))
+    first = rows.where(named).withColumn("nth__", nth).where(F.col("nth__") <= per_family)
+    alone = rows.where(~named).orderBy(*rank).limit(n).withColumn("nth__", F.lit(0))
+    # others are needed only if there are fewer than n of the above, and then the best 2 n rows of all hold enough of them
+    others = rows.orderBy(*rank).limit(2 * n).where(named).withColumn("nth__", nth).where(F.col("nth__") > per_family)
+    return first.unionByName(alone).unionByName(others).orderBy(F.col("nth__") > per_family, *rank).limit(n).drop("nth__")
 
 
 def page(rows: DataFrame, order: Sequence[Column], start: int, size: int, window: int = 10_000, cap: int = 100) -> DataFrame:

@@ -63,7 +63,7 @@ def two_hop_exclusion(spark, sf_dir):
 def all_tags_required(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     tags = part.agg(F.min("p_type").alias("food_class")).union(part.agg(F.max("p_type")))
-    hits = _foods(spark, sf_dir).join(F.broadcast(tags), "food_class", "left_semi")
+    hits = _foods(spark, sf_dir).join(tags, "food_class", "left_semi")
     return hits.select("item_id", "food_class").distinct().groupBy("item_id").count().where("count = 2").select("item_id")
 
 
@@ -131,7 +131,7 @@ def one_hop_expansion(spark, sf_dir):
 @query("bulk_id_expansion", f"WITH {_FOODS} SELECT id AS item_id, count(food_id) AS n FROM (SELECT unnest([1, 2, 3, 5, 8, 13, 21, 999999999]) AS id) LEFT JOIN foods ON item_id = id GROUP BY id")
 def bulk_id_expansion(spark, sf_dir):
     ids = spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 8, 13, 21, 999999999)], "item_id int")
-    wanted = F.broadcast(ids.select(F.col("item_id").cast("long").alias("item_id")))
+    wanted = ids.select(F.col("item_id").cast("long").alias("item_id"))
     counts = _foods(spark, sf_dir).join(wanted, "item_id", "left_semi").groupBy("item_id").agg(F.count("food_id").alias("n"))
     return ids.join(counts, "item_id", "left").select(F.col("item_id").cast("int").alias("item_id"), F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -100,7 +100,9 @@ def median_pct_deviation(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_suppkey", "source_id").join(regions(spark, sf_dir), "source_id").join(part, "l_partkey")
     deviation = report.deviation_pct(F.col("l_extendedprice"), F.col("l_quantity") * F.col("p_retailprice"))
-    return rows.groupBy("region").agg(F.round(F.median(deviation), 4).alias("median_deviation"), F.count("*").alias("n"))
+    rows = rows.select("region", deviation.alias("deviation"))
+    medians = report.distribution(rows, ["region"], "deviation", {"median": 0.5}).select("region", F.round("median", 4).alias("median_deviation"))
+    return rows.groupBy("region").agg(F.count("*").alias("n")).join(medians, "region", "left")
 
 
 @query(
@@ -194,7 +196,8 @@ SELECT region, count(*) AS n, round(avg(co2), 4) AS mean, round(median(CAST(co2
 def co2_summary(spark, sf_dir):
     co2 = F.when(F.col("l_partkey") % 10 == 0, 0.0).otherwise(F.col("l_quantity") * F.col("l_discount"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source_id"), co2.alias("co2")).join(regions(spark, sf_dir), "source_id")
-    return rows.groupBy("region").agg(F.count("*").alias("n"), F.round(F.avg("co2"), 4).alias("mean"), F.round(F.median("co2"), 4).alias("median"), F.round(F.max("co2"), 4).alias("most"), F.count_if(F.expr("co2 = 0")).alias("zeros"), F.round(F.stddev_pop("co2"), 4).alias("spread"))
+    medians = report.distribution(rows, ["region"], "co2", {"median": 0.5}).select("region", F.round("median", 4).alias("median"))
+    return rows.groupBy("region").agg(F.count("*").alias("n"), F.round(F.avg("co2"), 4).alias("mean"), F.round(F.max("co2"), 4).alias("most"), F.count_if(F.expr("co2 = 0")).alias("zeros"), F.round(F.stddev_pop("co2"), 4).alias("spread")).join(medians, "region")
 
 
 @query(
@@ -253,8 +256,9 @@ def ordered_distinct(spark, sf_dir):
 
 @query("median_density", "SELECT p_brand, round(median(CAST(p_retailprice / p_size AS DOUBLE)), 4) AS density, count(*) AS n FROM part WHERE p_size > 4 GROUP BY p_brand")
 def median_density(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").where("p_size > 4")
-    return rows.groupBy("p_brand").agg(F.round(F.median(F.col("p_retailprice") / F.col("p_size")), 4).alias("density"), F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "part").where("p_size > 4").select("p_brand", (F.col("p_retailprice") / F.col("p_size")).alias("density"))
+    found = report.distribution(rows, ["p_brand"], "density", {"median": 0.5})
+    return found.select("p_brand", F.round("median", 4).alias("density"), "n")
 
 
 @query("null_audit", " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS n, count(*) FILTER ({e}) AS n_missing, round((count(*) - count(*) FILTER ({e})) / count(*) * 100, 4) AS pct_complete FROM documents" for c, e in (("text", "text IS NULL OR trim(text) = ''"), ("lang", "lang IS NULL OR trim(lang) = '' OR lang = 'fr'"), ("n_chars", "n_chars IS NULL OR n_chars < 100"))))

@@ -27,31 +27,40 @@ def windowed_counts(events: DataFrame, time: str, keys: Sequence[str], width: st
     return counted.select(F.col("window.start").alias("start"), *keys, "n")
 
 
-def merge_into(events: DataFrame, table: str, checkpoint: str, keys: Sequence[str], order: Sequence[Column]) -> StreamingQuery:
+def merge_into(events: DataFrame, table: str, checkpoint: str, keys: Sequence[str], order: Sequence[Column], parts: int = 64) -> StreamingQuery:
     """Merges each micro-batch into the Parquet table by key: the first row in `order` of each key wins over the stored one.
 
-    Each batch writes a whole new version, named by its id, and reads the one before it. A batch that is repeated after
-    a failure replaces its own version from the same input, so each counts once. The newest version is `latest`.
+    The table is cut into `parts` by a hash of the keys (a number that must stay as it is). Each batch writes new
+    versions of the parts that its keys are in, under its own id, and reads those before it. A batch that is repeated
+    after a failure replaces its own version from the same input, so each counts once. The newest versions are `latest`.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = [v for v in versions(spark, table) if v < batch_id]
-        stored = spark.read.parquet(f"{table}/batch={before[-1]:09d}") if before else batch.limit(0)
-        upserted(stored, batch, keys, order).write.mode("overwrite").parquet(f"{table}/batch={batch_id:09d}")
+        of = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+        touched = [r[0] for r in batch.select(of.alias("part")).distinct().collect()]  # `parts` rows at most
+        paths = [path for part, path in _newest(batch.sparkSession, table, batch_id).items() if part in touched]
+        stored = batch.sparkSession.read.parquet(*paths) if paths else batch.limit(0)
+        merged = upserted(stored, batch, keys, order).withColumn("part", of)
+        merged.repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{table}/batch={batch_id:09d}")
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versions(spark: SparkSession, table: str) -> list[int]:
-    """Numbers of the table's complete versions, in order: a version's files only come to its folder when all are written."""
+def _newest(spark: SparkSession, table: str, before: int = 1 << 62) -> dict[int, str]:
+    """The folder of each part's newest version that is older than the batch `before`."""
     try:
-        return sorted(r[0] for r in spark.read.parquet(table).select(F.col("batch").cast("long")).distinct().collect())
+        stored = spark.read.parquet(table).select(F.col("batch").cast("long"), "part").where(F.col("batch") < before)
+        return {r.part: f"{table}/batch={r.batch:09d}/part={r.part}" for r in stored.groupBy("part").agg(F.max("batch").alias("batch")).collect()}
     except AnalysisException as missing:
         if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return []
+            return {}
         raise
 
 
+def versions(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the batches that the table's parts are from, in order: a batch's files only come to its folder when all are written."""
+    return sorted({int(path.split("/batch=")[1].split("/")[0]) for path in _newest(spark, table).values()})
+
+
 def latest(spark: SparkSession, table: str) -> DataFrame:
-    return spark.read.parquet(f"{table}/batch={versions(spark, table)[-1]:09d}")
+    return spark.read.parquet(*_newest(spark, table).values())

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from mirepoix.functions import cleaning as C
 from mirepoix.functions import measures as M
 from mirepoix.functions import scoring
 from mirepoix.functions import text as T
@@ -199,3 +201,31 @@ def test_realigned_measurements(spark):
     got = {r.id: r.realigned for r in match.realigned(rows).collect()}
     assert got == {i: want for i, (_, _, want) in enumerate(cases)}
     assert match.realigned(rows.limit(0)).collect() == []
+
+
+def test_distribution_equals_numpy_on_ties_tails_and_null_keys(spark):
+    rng = np.random.default_rng(5)
+    values = {None: [3.0, 3.0, 3.0, -2.5], "a": [*rng.lognormal(0, 4, 500), *[7.0] * 300, -1e12, 1e12], "b": [1e9 + k / 8 for k in range(64)], "one": [4.0]}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs] + [("a", None), ("empty", None)], "k string, v double")
+    got = {r.k: r for r in report.distribution(rows, ["k"], "v", {"q1": 0.25, "median": 0.5, "p99": 0.99}).collect()}
+    assert got.keys() == values.keys()
+    for k, vs in values.items():
+        assert got[k].n == len(vs) and got[k].least == min(vs) and got[k].most == max(vs)
+        np.testing.assert_allclose([got[k].q1, got[k].median, got[k].p99], np.quantile(vs, [0.25, 0.5, 0.99]), rtol=1e-12)
+    assert report.distribution(rows.limit(0), ["k"], "v", {"median": 0.5}).count() == 0
+
+
+def test_equipment_labels_measurements_and_generic_names(spark):
+    name = F.col("a")
+    kept = ["rack of lamb", "tea bag", "olive oil, plus extra, to brush", "chicken breast fillets cooking spray oil", "lamb skewers", "", None]
+    gone = ["wooden skewers, soaked in water", "butcher's twine", "olive oil flavored cooking spray", "Parchment paper", "cheese grater"]
+    assert values(spark, [(x,) for x in kept + gone], "a string", C.pure_equipment(name)) == [(False,)] * len(kept) + [(True,)] * len(gone)
+    forms = {"2.50 Tablespoons of": "2.5 tbsp", "400grams": "400 g", " 1.0  kilogram": "1 kg", "a pinch": "a pinch", "1/2 cup": "1/2 cup", "1.2.3": "1.2.3", "": "", None: None}
+    assert values(spark, [(x,) for x in forms], "a string", C.measurement_form(name)) == [(x,) for x in forms.values()]
+    labels = {"cheese (white)@en": "cheese white", "Feta cheese food product@en": "feta cheese", "food": "", None: None}
+    assert values(spark, [(x,) for x in labels], "a string", C.ontology_label(name)) == [(x,) for x in labels.values()]
+    brands = [("Acme's Honey Dressing", "honey dressing", "Acme", True, []), ("Bolt cola", "drinks", "Bolt", False, ["cola"]), ("Kip pie", "2 pies", "Kip", False, []), ("Fog prawns", "fog prawn", "Fog", False, []), (None, None, None, False, None)]
+    got = values(spark, [b[:3] for b in brands], "a string, b string, c string", C.generic_is_valid(name, F.col("b"), F.col("c")), C.lost_tokens(name, F.col("b"), F.col("c")))
+    assert got == [b[3:] for b in brands]
+    weights = [(["duck"], "whole", 300.0, "whole_animal_too_small"), (["oil"], "", 3.0, "missing_unit"), (["oil"], "cup", 28.3, "suspicious_unit_conversion_default:28.35"), (["salt"], "pinch", 6.0, "pinch_too_heavy"), (["oil"], "oz", 28.35, None), (["oil"], "cup", 220.0, None)]
+    assert values(spark, [w[:3] for w in weights], "a array<string>, u string, g double", C.implausible_weight(name, F.col("u"), F.col("g"), F.lit(None).cast("string"))) == [(w[3],) for w in weights]
