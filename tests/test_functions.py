@@ -220,7 +220,7 @@ def test_equipment_labels_measurements_and_generic_names(spark):
     kept = ["rack of lamb", "tea bag", "olive oil, plus extra, to brush", "chicken breast fillets cooking spray oil", "lamb skewers", "", None]
     gone = ["wooden skewers, soaked in water", "butcher's twine", "olive oil flavored cooking spray", "Parchment paper", "cheese grater"]
     assert values(spark, [(x,) for x in kept + gone], "a string", C.pure_equipment(name)) == [(False,)] * len(kept) + [(True,)] * len(gone)
-    forms = {"2.50 Tablespoons of": "2.5 tbsp", "400grams": "400 g", " 1.0  kilogram": "1 kg", "a pinch": "a pinch", "1/2 cup": "1/2 cup", "1.2.3": "1.2.3", "": "", None: None}
+    forms = {"2.50 Tablespoons of": "2.5 tbsp", "400grams": "400 grams", "400 grams": "400 g", " 1.0  kilogram": "1 kg", "a pinch": "a pinch", "1/2 cup": "1/2 cup", "1.2.3": "1.2.3", "": "", None: None}
     assert values(spark, [(x,) for x in forms], "a string", C.measurement_form(name)) == [(x,) for x in forms.values()]
     labels = {"cheese (white)@en": "cheese white", "Feta cheese food product@en": "feta cheese", "food": "", None: None}
     assert values(spark, [(x,) for x in labels], "a string", C.ontology_label(name)) == [(x,) for x in labels.values()]
