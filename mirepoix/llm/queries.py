@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mirepoix.llm import bpe, embeddings, lmscore, packing, quality, sharding, simhash, tokencount, toxicity, urlfilter
+from mirepoix.llm import bpe, divergence, embeddings, licenses, lmscore, packing, prefixtrie, quality, sharding, simhash, tokencount, toxicity, urlfilter
 from mirepoix.llm.common import table
 
 QUERIES: dict = {}
@@ -69,11 +69,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@_query
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.shared_head_trie(table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_labels(table(spark, sf_dir, "documents"))
+
+
 @_query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
 ORACLES["op4_url_filter"] = urlfilter.ORACLE
+ORACLES["op11_conversation_prefix_trie"] = prefixtrie.ORACLE
+ORACLES["op12_source_divergence_audit"] = divergence.ORACLE
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
