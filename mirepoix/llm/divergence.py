@@ -84,7 +84,11 @@ def _starts(columns: list[pa.Array], last: tuple | None) -> np.ndarray:
 
 
 def source_runs(rows: DataFrame) -> DataFrame:
-    """(lang, term, source, df, n) summed over blocks: a scan of runs in sorted partitions that holds one run's sums."""
+    """(lang, term, source, df, n) summed over blocks: a scan of runs in sorted partitions that holds one run's sums.
+
+    A hash of (lang, term, source) leads the sort: a run needs equal rows side by side, and eight bytes that differ
+    are compared far faster than strings that begin alike.
+    """
 
     def scanned(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, sums = None, (0, 0)
@@ -107,8 +111,8 @@ def source_runs(rows: DataFrame) -> DataFrame:
             yield _run([[x] for x in last], [[s] for s in sums])
 
     names = ["lang", "term", "source"]
-    dealt = rows.select(*names, "block", "df", "n").repartition(*names).sortWithinPartitions(*names, "block")
-    return dealt.mapInArrow(scanned, "lang string, term string, source string, df long, n long")
+    dealt = rows.repartition(*names).withColumn("lead", F.xxhash64(*names)).sortWithinPartitions("lead", *names, "block")
+    return dealt.select(*names, "block", "df", "n").mapInArrow(scanned, "lang string, term string, source string, df long, n long")
 
 
 def _run(keys: list, sums: list) -> pa.RecordBatch:
