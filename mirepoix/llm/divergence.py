@@ -32,7 +32,7 @@ def _words(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
         at = to
 
 
-def block_counts(docs: DataFrame, entries: int = 1 << 18) -> DataFrame:
+def block_counts(docs: DataFrame, entries: int = 1 << 19) -> DataFrame:
     """(lang, source, term, block, df, n): documents with a term and its occurrences, of a block of documents.
 
     A block ends when it has so many different (lang, source, term), so its memory is bounded; a term's counts of many
@@ -56,6 +56,7 @@ def block_counts(docs: DataFrame, entries: int = 1 << 18) -> DataFrame:
                         yield from _emitted(counts, block)
                         block, held, counts = block + 1, 0, {}
         yield from _emitted(counts, block)
+        counts.clear()
         give_back()
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
