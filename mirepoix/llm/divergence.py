@@ -124,38 +124,33 @@ def _run(keys: list, sums: list) -> pa.RecordBatch:
 def kept_terms(runs: DataFrame, least_df: int = 30) -> DataFrame:
     """(lang, term, source, n) of the terms in at least so many documents of their language, and one of each with a null source and the sum.
 
-    A second scan, of partitions sorted by language, term and source; it holds the sources of one term.
+    A second scan, of partitions sorted by language, term and source; it holds a batch and the sources of one term.
     """
 
     def scanned(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, sources, out = None, [], []
-
-        def done() -> None:
-            if sum(df for _, df, _ in sources) >= least_df:
-                out.extend((*key, source, n) for source, _, n in sources)
-                out.append((*key, None, sum(n for *_, n in sources)))
-
+        open_run = None
         for batch in stream:
-            for lang, term, *of in zip(*(c.to_pylist() for c in batch.columns)):
-                if (lang, term) != key:
-                    if key:
-                        done()
-                    key, sources = (lang, term), []
-                sources.append(of)
-            if len(out) > 10_000:
-                yield _kept(out)
-                out = []
-        if key:
-            done()
-        yield _kept(out)
+            rows = pa.concat_batches([open_run, batch]) if open_run else batch
+            if rows.num_rows:
+                starts = np.flatnonzero(_starts(rows.columns[:2], None))
+                yield _kept(rows, starts[:-1], starts[-1], least_df)
+                open_run = rows.slice(int(starts[-1]))
+        if open_run:
+            yield _kept(open_run, np.zeros(1, dtype=np.int64), open_run.num_rows, least_df)
 
     dealt = runs.repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    return dealt.mapInArrow(scanned, "lang string, term string, source string, n long")
-
-
-def _kept(rows: list[tuple]) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*[pa.string()] * 3, pa.int64()])], names=["lang", "term", "source", "n"])
+    return dealt.select("lang", "term", "source", "df", "n").mapInArrow(scanned, "lang string, term string, source string, n long")
+
+
+def _kept(rows: pa.RecordBatch, starts: np.ndarray, end: int, least_df: int) -> pa.RecordBatch:
+    """Of the runs of rows before `end` that are in documents enough, their rows and then a row of each with the sum."""
+    lang, term, source, df, n = rows.slice(0, int(end)).columns
+    found = np.zeros(0, dtype=bool) if not len(starts) else np.add.reduceat(np.asarray(df), starts) >= least_df
+    here = pa.array(np.repeat(found, np.diff(np.append(starts, end))))
+    first = pa.array(starts[found])
+    sums = np.add.reduceat(np.asarray(n), starts)[found] if len(starts) else np.zeros(0, dtype=np.int64)
+    parts = [(lang, lang.take(first)), (term, term.take(first)), (source, pa.nulls(len(first), source.type)), (n, pa.array(sums, pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([c.filter(here), own]) for c, own in parts], names=["lang", "term", "source", "n"])
 
 
 def shares(counts: np.ndarray, total: np.ndarray, smoothing: int = 5) -> np.ndarray:

@@ -72,6 +72,7 @@ def test_blocks_and_runs_across_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
         runs = divergence.source_runs(divergence.block_counts(df, entries=20)).collect()
+        assert result(spark, docs, least_df=4) == brute(docs, 4)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = defaultdict(lambda: [0, 0])
