@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.functions import text as T
@@ -44,26 +47,35 @@ def package_grams(measurement: Column) -> Column:
     return count * F.nullif(F.regexp_extract(m, rx, 2), F.lit("")).cast("double") * literal_map(MASS_G)[F.regexp_extract(m, rx, 3)]
 
 
-def grams(name: Column, measurement: Column, piece_g: Column) -> tuple[Column, Column]:
-    """(grams, how): the first way that applies, in fixed order: to taste, package, mass, volume by density, sized pieces, pieces.
+def with_grams(rows: DataFrame, name: str = "name", measurement: str = "measurement", piece_g: Column | None = None) -> DataFrame:
+    """rows with grams and how: the first way that applies, in fixed order: to taste, package, mass, volume by density, sized pieces, pieces.
 
-    piece_g: grams of one piece of the food, null if unknown. No way: (null, "none").
+    piece_g: grams of one piece of the food, null if unknown. No way: (null, "none"). A measurement is worked out once
+    for each distinct (name, measurement, piece), and joined back; quantity, unit, package and density are computed once,
+    before the ways that use them.
     """
-    q, u = T.quantity(measurement), unit(measurement)
-    size = F.regexp_extract(F.lower(measurement), "(small|medium|large)", 1)
-    mass, volume = literal_map(MASS_G)[u], literal_map(VOLUME_ML)[u]
-    ways = [
-        ("to_taste", F.when(F.lower(F.trim(measurement)).isin("to taste", "as needed", "optional", "garnish", "to serve"), 1.0)),
-        ("package", package_grams(measurement)),
-        ("mass", F.coalesce(q, F.lit(1.0)) * mass),
-        ("volume", F.coalesce(q, F.lit(1.0)) * volume * density(name)),
-        ("sized_piece", F.when(size != "", F.coalesce(q, F.lit(1.0)) * piece_g * literal_map(SIZE_FACTOR)[size])),
-        ("piece", F.coalesce(q, F.lit(1.0)) * piece_g),
-    ]
-    how = F.lit("none")
-    for label, value in reversed(ways):
-        how = F.when(value.isNotNull(), label).otherwise(how)
-    return F.coalesce(*(v for _, v in ways)), how
+    text, food = F.col("measurement"), F.col("name")
+    piece = F.lit(None).cast("double") if piece_g is None else piece_g.cast("double")
+    wanted = {"name": F.col(name), "measurement": F.col(measurement), "piece": piece}
+    pairs = rows.select(*(c.alias(n) for n, c in wanted.items())).distinct()
+    size = F.regexp_extract(F.lower(text), "(small|medium|large)", 1)
+    taste = F.lower(F.trim(text)).isin("to taste", "as needed", "optional", "garnish", "to serve")
+    parts = F.struct(F.coalesce(T.quantity(text), F.lit(1.0)).alias("q"), unit(text).alias("u"), package_grams(text).alias("package"), density(food).alias("density"), size.alias("size"), taste.alias("taste"))
+    known = pairs.select(*wanted, F.inline(F.array(parts)))
+    mass, volume, one = literal_map(MASS_G)[F.col("u")], literal_map(VOLUME_ML)[F.col("u")], F.col("piece")
+    ways = {
+        "to_taste": F.when(F.col("taste"), 1.0),
+        "package": F.col("package"),
+        "mass": F.col("q") * mass,
+        "volume": F.col("q") * volume * F.col("density"),
+        "sized_piece": F.when(F.col("size") != "", F.col("q") * one * literal_map(SIZE_FACTOR)[F.col("size")]),
+        "piece": F.col("q") * one,
+    }
+    each = known.select(*(F.col(n).alias(f"grams__{n}") for n in wanted), F.inline(F.array(F.struct(*(value.alias(label) for label, value in ways.items())))))
+    how = F.coalesce(*(F.when(F.col(label).isNotNull(), label) for label in ways), F.lit("none"))
+    solved = each.select(*(f"grams__{n}" for n in wanted), F.coalesce(*ways).alias("grams"), how.alias("how"))
+    same = reduce(and_, (c.eqNullSafe(F.col(f"grams__{n}")) for n, c in wanted.items()))
+    return rows.join(solved, same).drop(*(f"grams__{n}" for n in wanted))
 
 
 def confidence(how: Column, inferred: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from mirepoix.operators.scans import running
+
 
 def redacted(rows: DataFrame, names: Collection[str], privileged: bool = False) -> DataFrame:
     """rows without the fields of these names, at any depth of structs and arrays; as they are for the privileged."""
@@ -56,13 +58,29 @@ def appended(tags: Column, tag: str | Column) -> Column:
     return F.when(F.array_contains(tags, new), tags).otherwise(F.array_append(tags, new))
 
 
+def hash_number(value: Column, modulus: int) -> Column:
+    """The SHA-1 of a text, as one large number, modulo `modulus` (up to 2**34): its hexadecimal digits are taken in sevens."""
+    digest, rest = F.sha1(value), F.lit(0).cast("long")
+    for at in range(0, 40, 7):
+        n = min(7, 40 - at)
+        rest = (rest * 16**n + F.conv(F.substring(digest, at + 1, n), 16, 10).cast("long")) % modulus
+    return rest
+
+
 def free_ids(rows: DataFrame, key: str, digits: int = 10) -> DataFrame:
-    """rows with new_id: so many digits of the key's SHA-1; keys that share them get the numbers after it, in order of the key.
+    """rows with new_id: so many digits of the key's SHA-1, or the next number that is free, from 0 again after the last.
 
-    Keys must not repeat. Numbers may meet those of a neighbour, which one time in 10^digits / rows happens; a wider hash avoids it.
+    Ids are as linear probing gives them where keys come in order of their number and then their own: with numbers
+    h(0) <= h(1) ..., id(i) = i + max(h(j) - j) over j <= i. That maximum runs over ranges of the sorted keys, none of
+    them held whole by a task. Those beyond the last number take the first ones, and what they displace moves up.
+    Keys must be neither null nor repeated; more keys than numbers are refused. No rows: none.
     """
-    from pyspark.sql import Window as W
-
-    base = F.conv(F.substring(F.sha1(F.col(key).cast("string")), 1, 15), 16, 10).cast("long") % 10**digits
-    nth = F.row_number().over(W.partitionBy("base__").orderBy(key)) - 1
-    return rows.withColumn("base__", base).withColumn("new_id", F.col("base__") + nth).drop("base__")
+    modulus, order = 10**digits, ["hash__", key]
+    numbered = running(rows.withColumn("hash__", hash_number(F.col(key).cast("string"), modulus)), [], order, {"nth__": ("sum", F.lit(1))})
+    probed = running(numbered, [], order, {"ahead__": ("max", F.col("hash__") - F.col("nth__") + 1)})
+    at = F.col("nth__") - 1 + F.greatest("ahead__", F.lit(0))
+    n, beyond = probed.agg(F.count("*"), F.count_if(at >= modulus)).first()
+    if n > modulus:
+        raise ValueError(f"{n} keys for {modulus} ids")
+    new_id = (F.col("nth__") - 1 + F.greatest("ahead__", F.lit(beyond))) % modulus
+    return probed.withColumn("new_id", new_id).drop("hash__", "nth__", "ahead__")

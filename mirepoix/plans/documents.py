@@ -110,7 +110,17 @@ def serves_inference(spark, sf_dir):
     return t.select("item_id", F.when(F.round(ratio).between(1, 24) & (F.abs(ratio - F.round(ratio)) <= 0.15), F.round(ratio).cast("long")).alias("serves"))
 
 
-@query("hashed_ids", "WITH b AS (SELECT DISTINCT user_id, CAST('0x' || substr(sha1(CAST(user_id AS VARCHAR)), 1, 15) AS BIGINT) % 1000 AS b FROM events) SELECT user_id, b + row_number() OVER (PARTITION BY b ORDER BY user_id) - 1 AS new_id FROM b")
+_SHA = "0"
+for _at in range(0, 40, 7):
+    _SHA = f"(({_SHA}::HUGEINT * {16 ** min(7, 40 - _at)} + CAST('0x' || substr(sha1(CAST(user_id AS VARCHAR)), {_at + 1}, {min(7, 40 - _at)}) AS HUGEINT)) % 1000)"
+
+
+@query(
+    "hashed_ids",
+    f"""WITH h AS (SELECT user_id, {_SHA} AS h FROM (SELECT DISTINCT user_id FROM events)), i AS (SELECT user_id, h, row_number() OVER (ORDER BY h, user_id) - 1 AS i FROM h),
+m AS (SELECT user_id, i, max(h - i) OVER (ORDER BY i) AS m FROM i), w AS (SELECT count(*) AS w FROM m WHERE i + m >= 1000),
+ids AS (SELECT user_id, CAST((i + greatest(m, w)) % 1000 AS BIGINT) AS new_id FROM m, w) SELECT user_id, CASE WHEN (SELECT count(DISTINCT new_id) = count(*) FROM ids) THEN new_id END AS new_id FROM ids""",
+)
 def hashed_ids(spark, sf_dir):
     return D.free_ids(table(spark, sf_dir, "events").select("user_id").distinct(), "user_id", 3)
 

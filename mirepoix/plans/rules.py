@@ -55,12 +55,22 @@ def _has(name: str, allergen: str) -> str:
     return found + (f" AND NOT regexp_matches(lower({name}), {_rx(R.any_of(guard))})" if guard else "")
 
 
+#: A turn of a conversation that names one of the foods after what it says.
+_SAID = f"names AS (SELECT conv_id, turn, text || ' ' || {_name('(conv_id + turn)')} AS name FROM conversations)"
+
+
+def _said(spark, sf_dir):
+    """(conv_id, turn, name): each turn's whole text and a food's name."""
+    turns = table(spark, sf_dir, "conversations").withColumn("food", F.col("conv_id") + F.col("turn"))
+    return turns.select("conv_id", "turn", F.concat_ws(" ", "text", name_of("food")).alias("name"))
+
+
 _FOUND = "found AS (SELECT name, list_filter([" + ", ".join(f"CASE WHEN {_has('name', a)} THEN '{a}' END" for a in sorted(V.ALLERGENS)) + "], lambda x: x IS NOT NULL) AS found FROM names)"
 
 
-@query("allergen_names", f"WITH {_ALL}, {_FOUND} SELECT name, array_to_string(found, ',') AS allergens FROM found")
+@query("allergen_names", f"WITH {_SAID}, {_FOUND.replace('SELECT name,', 'SELECT conv_id, turn,')} SELECT conv_id, turn, array_to_string(found, ',') AS allergens FROM found")
 def allergen_names(spark, sf_dir):
-    return _by_name(spark, F.array_join(R.allergens(F.col("name")), ",").alias("allergens"))
+    return _said(spark, sf_dir).select("conv_id", "turn", F.array_join(R.allergens(F.col("name")), ",").alias("allergens"))
 
 
 def _detected(spark, sf_dir):
@@ -93,9 +103,9 @@ def allergen_evidence(spark, sf_dir):
     return _by_name(spark, F.explode(R.allergens(F.col("name"))).alias("allergen")).join(used, "name").select("allergen", "name", "n_items")
 
 
-@query("alternative_guards", f"WITH {_ALL} SELECT name, regexp_matches(lower(name), {_rx(R.any_of(V.PLANT_DAIRY))}) AS plant_dairy, regexp_matches(lower(name), {_rx(R.any_of(V.GLUTEN_SAFE))}) AS gluten_safe FROM names")
+@query("alternative_guards", f"WITH {_SAID} SELECT conv_id, turn, regexp_matches(trim(regexp_replace(lower(name), '\\s+', ' ', 'g')), {_rx(R.any_of(V.PLANT_DAIRY))}) AS plant_dairy, regexp_matches(trim(regexp_replace(lower(name), '\\s+', ' ', 'g')), {_rx(R.any_of(V.GLUTEN_SAFE))}) AS gluten_safe FROM names")
 def alternative_guards(spark, sf_dir):
-    return _by_name(spark, R.plant_dairy(F.col("name")).alias("plant_dairy"), R.gluten_safe(F.col("name")).alias("gluten_safe"))
+    return _said(spark, sf_dir).select("conv_id", "turn", R.plant_dairy(F.col("name")).alias("plant_dairy"), R.gluten_safe(F.col("name")).alias("gluten_safe"))
 
 
 _TOKENS = "trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'))"
@@ -113,10 +123,13 @@ def diet_exclusion(spark, sf_dir):
     return rows.groupBy("item_id").agg(*((~F.bool_or(d)).alias(d) for d in V.DIETS))
 
 
-@query("diet_contradiction", f"WITH {_ALL}, d(diet, words) AS (VALUES {', '.join(f'({_rx(d)}, {_list(w)})' for d, w in V.DIETS.items())}) SELECT name, diet, list_filter(words, lambda w: contains(lower(name), w))[1] AS fragment FROM names, d WHERE len(list_filter(words, lambda w: contains(lower(name), w))) > 0")
+@query(
+    "diet_contradiction",
+    f"WITH {_SAID}, d(diet, words) AS (VALUES {', '.join(f'({_rx(d)}, {_list(w)})' for d, w in V.DIETS.items())}) SELECT conv_id, turn, diet, list_filter(words, lambda w: contains(lower(name), w))[1] AS fragment FROM names, d WHERE len(list_filter(words, lambda w: contains(lower(name), w))) > 0",
+)
 def diet_contradiction(spark, sf_dir):
     each = F.explode(F.map_filter(F.create_map(*(x for d in V.DIETS for x in (F.lit(d), R.first_contradiction(F.col("name"), d)))), lambda k, v: v.isNotNull())).alias("diet", "fragment")
-    return _by_name(spark, each)
+    return _said(spark, sf_dir).select("conv_id", "turn", each)
 
 
 _KEPT_OUT = {a: R.exclusion_fragments(a) for a in ("tree_nut", "dairy", "shellfish", "mustard")}

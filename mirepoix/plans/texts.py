@@ -174,8 +174,7 @@ def unit_to_grams(spark, sf_dir):
     unit = F.when(F.col("l_linenumber") % 5 == 0, " g").when(F.col("l_linenumber") % 5 == 1, " cups").when(F.col("l_linenumber") % 5 == 2, " oz").when(F.col("l_linenumber") % 5 == 3, " tbsp").otherwise("")
     name = F.when(F.col("l_partkey") % 4 == 0, "olive oil").when(F.col("l_partkey") % 4 == 1, "milk").when(F.col("l_partkey") % 4 == 2, "wheat flour").otherwise("honey")
     rows = line.select("l_orderkey", F.concat(F.floor("l_quantity").cast("string"), unit).alias("measurement"), name.alias("name"))
-    grams, how = M.grams(F.col("name"), F.col("measurement"), F.lit(50.0))
-    return rows.select("l_orderkey", how.alias("how"), grams.alias("grams")).groupBy("l_orderkey", "how").agg(F.count("*").alias("n"), F.round(F.sum("grams"), 3).alias("grams"))
+    return M.with_grams(rows, piece_g=F.lit(50.0)).groupBy("l_orderkey", "how").agg(F.count("*").alias("n"), F.round(F.sum("grams"), 3).alias("grams"))
 
 
 @query(

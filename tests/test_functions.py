@@ -49,10 +49,11 @@ def test_lines_split_and_weigh(spark):
     cases = {"1 1/2 cups milk": ("1 1/2 cups", "milk"), "2 x 400 g cans tomatoes": ("2 x 400 g cans", "tomatoes"), "28 oz can tomatoes": ("28 oz can", "tomatoes"), "salt": ("", "salt"), "3 large eggs": ("3", "large eggs"), "½ tsp. of thyme": ("1/2 tsp.", "thyme")}
     measurement, name = M.split_line(F.col("t"))
     assert values(spark, [(t,) for t in cases], "t string", measurement, name) == list(cases.values())
-    grams, how = M.grams(F.col("name"), F.col("m"), F.col("piece"))
     rows = [("olive oil", "2 tbsp", None), ("flour", "250 g", None), ("tomatoes", "2 x 400 g", None), ("beans", "1 (14 oz) can", None), ("eggs", "3 large", 50.0), ("eggs", "2", 50.0), ("salt", "to taste", None), ("love", "some", None)]
-    got = values(spark, rows, "name string, m string, piece double", F.round(grams, 2), how)
-    assert got == [(27.6, "volume"), (250.0, "package"), (800.0, "package"), (396.89, "package"), (202.5, "sized_piece"), (100.0, "piece"), (1.0, "to_taste"), (None, "none")]
+    lines = spark.createDataFrame([(i, *r) for i, r in enumerate(rows + rows[:1] + [(None, None, None)])], "i int, name string, m string, piece double")
+    got = [(r.g, r.how) for r in M.with_grams(lines, measurement="m", piece_g=F.col("piece")).orderBy("i").select(F.round("grams", 2).alias("g"), "how").collect()]
+    assert got[8:] == [(27.6, "volume"), (None, "none")]
+    assert got[:8] == [(27.6, "volume"), (250.0, "package"), (800.0, "package"), (396.89, "package"), (202.5, "sized_piece"), (100.0, "piece"), (1.0, "to_taste"), (None, "none")]
 
 
 def test_plural_variants_and_fractions(spark):
