@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mirepoix.llm.common import slices
+
 _SPACE = regex.compile(r"\p{White_Space}+").split
 _NO_SPACE = re.compile(r"[\x1c-\x1f]").search
 #: Capitals newer than Python's own table of letters, with their small letters.
@@ -154,7 +156,8 @@ def encoded(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """(doc_id, ids, decoded) of each whole text: its ids joined by spaces, and what they decode to.
 
     A null text is empty: no ids. Null and repeated doc_ids keep their rows; other columns are ignored. tokenizer:
-    path of the tokenizer's JSON file, there on every executor. Equal words are encoded once in a Python worker.
+    path of the tokenizer's JSON file, there on every executor. Equal words are encoded once in a Python worker. A text
+    of over a megabyte is encoded by itself, whole. No docs: no rows.
     """
     return _mapped(docs, tokenizer, doc_id, text, "ids string, decoded string", lambda n, ids, decoded: (ids, decoded))
 
@@ -172,8 +175,7 @@ def _mapped(docs: DataFrame, tokenizer: str, doc_id: str, text: str, columns: st
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(tokenizer)
         for whole in stream:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in slices(whole, 1, 512):
                 made = zip(*(make(*bpe.text(x)) for x in batch.column(1).to_pylist()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(made, types))], names=names)
 

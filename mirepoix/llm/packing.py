@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.llm.bpe import byte_symbols
-from mirepoix.llm.common import give_back, settled
+from mirepoix.llm.common import give_back, settled, slices
 
 #: Splits a text before byte-level BPE; a fixed value of that public vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,8 +53,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int =
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = byte_encoding(vocabulary)
         for whole in stream:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, 1):
                 rows: list[tuple] = []
                 for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     ids = np.append(token_ids(encoding, x), np.uint32(end_id)).astype("<u4", copy=False)
@@ -110,30 +109,34 @@ class OpenBins:
         return bin_no, self.capacity - free, closed
 
 
-def pack(items: DataFrame, capacity: int = 1024, open_bins: int = 256, length: str = "length") -> DataFrame:
+def pack(items: DataFrame, capacity: int = 1024, open_bins: int = 256, length: str = "length", rows_a_task: int = 50_000) -> DataFrame:
     """items with sequence_id and offset: as few sequences of at most `capacity` as a bounded-space best fit finds.
 
     Each partition packs its own rows in one pass without a shuffle. What is in bins that are still open when a
-    partition ends, at most `open_bins` of it, is dealt out and packed again, longest first; so small or many
-    partitions cost no sequences. offset: place in its sequence, gapless from 0. Items keep all their columns, among
-    which sequence_id, offset and left_open must not be. Null lengths count as 0; one over capacity is refused.
+    partition ends, at most `open_bins` of them, is dealt to fewer tasks of up to `rows_a_task` rows in an order by
+    hash and packed again in the same way, until one task packs the rest; so small or many partitions cost no
+    sequences. offset: place in its sequence, gapless from 0. Items keep all their columns, among which sequence_id,
+    offset and left_open must not be. Null lengths count as 0; one over capacity is refused. No items: no rows.
     """
     bad = {"sequence_id", "offset", "left_open"} & set(items.columns)
     if bad:
         raise ValueError(f"columns of items clash with results: {sorted(bad)}")
-    placed = settled(_packed(items, capacity, open_bins, length, 0), "packed")
-    left, rows = placed.where("left_open"), 50_000
-    dealt = left.repartition(max(1, -(-left.count() // rows)), F.xxhash64("sequence_id", "offset")).select(*items.columns).sortWithinPartitions(F.desc(length))
-    # twice the mean of a task's rows: all its bins may be open, as the long ones come before those that fill them up
-    again = _packed(dealt, capacity, 2 * rows, length, 1)
-    return placed.where("not left_open").unionByName(again).select(*items.columns, "sequence_id", "offset")
+    done, todo, tasks, round_no = [], items, 1 << 30, 0
+    while tasks > 1:
+        placed = settled(_packed(todo, capacity, open_bins, length, round_no), "packed")
+        done.append(placed.where("not left_open"))
+        left, round_no = placed.where("left_open"), round_no + 1
+        tasks = min(tasks // 2, max(1, -(-left.count() // rows_a_task)))
+        todo = left.repartition(tasks, F.xxhash64("sequence_id", "offset")).select(*items.columns)
+    done.append(_packed(todo, capacity, open_bins, length, round_no))
+    return reduce(DataFrame.unionByName, done).select(*items.columns, "sequence_id", "offset")
 
 
 def _packed(items: DataFrame, capacity: int, open_bins: int, length: str, round_no: int) -> DataFrame:
     names = items.columns
 
     def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, bins = TaskContext.get().partitionId() << 33 | round_no << 32, OpenBins(capacity, open_bins)
+        base, bins = TaskContext.get().partitionId() << 38 | round_no << 32, OpenBins(capacity, open_bins)
         held: dict[int, list[tuple]] = {}
         ready: list[tuple] = []
         schema = None
@@ -167,6 +170,10 @@ def _packed(items: DataFrame, capacity: int, open_bins: int, length: str, round_
 
 
 def packed_digests(docs: DataFrame, vocabulary: str, capacity: int = 1024, end_id: int = 2, open_bins: int = 256) -> DataFrame:
-    """The packed pieces of all docs, each with the CRC-32 of its ids in the place of the ids."""
+    """The packed pieces of all docs, each with the CRC-32 of its ids in the place of the ids.
+
+    Null texts are empty, null and repeated doc_ids keep their rows, other columns are ignored; a text of over a
+    megabyte is tokenised by itself, whole. No docs: no rows.
+    """
     cut = pieces(docs, vocabulary, capacity, end_id)
     return pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), capacity, open_bins)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mirepoix.llm.common import settled
+from mirepoix.llm.common import settled, slices
 from mirepoix.llm.packing import byte_encoding
 
 END_ID = 50256
@@ -73,7 +73,7 @@ def token_blocks(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text:
 
         for batch in stream:
             kind = batch.schema.field(0).type
-            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key, x in ((k, t) for part in slices(batch, 1) for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
                 ids = np.append(encoding.encode_to_numpy(x or "", disallowed_special=()), np.uint32(END_ID)).astype("<u2")
                 held.append(ids)
                 names.append(key)
@@ -140,6 +140,11 @@ def _prefix(found: DataFrame, run: int) -> DataFrame:
 
 
 def document_token_counts(docs: DataFrame, vocabulary: str, block_tokens: int = 1 << 18) -> DataFrame:
-    """(doc_id, n_tokens, file, ordinal, start) of each document, found in the flat token files of docs."""
+    """(doc_id, n_tokens, file, ordinal, start) of each document, found in the flat token files of docs.
+
+    A null text is empty and has no tokens; null and repeated doc_ids keep their rows, each a document of its own;
+    other columns are ignored. A text may be of any size; those of over a megabyte are tokenised one by one. No docs:
+    no rows.
+    """
     found = document_lengths(token_blocks(docs, vocabulary, block_tokens=block_tokens), names="doc_ids")
     return found.select(F.col("name").alias("doc_id"), "n_tokens", "file", "ordinal", "start")

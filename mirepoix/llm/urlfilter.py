@@ -99,12 +99,15 @@ def judged(pages: DataFrame, rules=RULES, page_id: str = "page_id", url: str = "
 
     A rule fits its host and all its subdomains if the URL's path starts with its path; the longest rule string wins
     (of equals the larger); of equal rule strings with different verdicts block counts. No rule: `otherwise`. Null, empty and relative URLs have no host, so no rule fits them.
-    Repeated rows and null page_ids are kept, other columns ignored. rules: (host, path, verdict) rows, or a
-    DataFrame of them with columns host, path, verdict: lists of up to `most_mapped` bytes go to each executor as one
+    Repeated rows and null page_ids are kept, other columns ignored; no pages: no rows. rules: (host, path, verdict)
+    rows, or a DataFrame of them with columns host, path, verdict; A-Z of their hosts are lower-cased, a null host or
+    path makes no rule, and a verdict other than block allows: lists of up to `most_mapped` bytes go to each executor as one
     sorted, memory-mapped file, larger ones are joined.
     """
     spark = pages.sparkSession
     listed = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, verdict string")
+    listed = listed.where("host is not null and path is not null").withColumn("host", F.translate("host", _UPPER, _LOWER))
+    listed = listed.withColumn("verdict", F.when(F.col("verdict") == "block", "block").otherwise("allow"))
     listed = listed.select(F.concat("host", "path").alias("rule"), "verdict", F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length"))
     size = listed.agg(F.sum(F.octet_length("rule") + 17), F.max("labels"), F.collect_set("length")).first()
     host, path = host_and_path(F.col(url))

@@ -45,3 +45,12 @@ def test_every_code_point_is_lower_cased_as_the_library_does():
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).normalizer
     texts = ("x" + chr(c) + "x" for c in range(0x110000) if not 0xD800 <= c < 0xE000)
     assert not [t for t in texts if library.normalize_str(t) != " ".join(bpe.chunks(t))]
+
+
+def test_texts_of_megabytes_in_one_batch(spark):
+    texts = ["word é " * 200_000, "a", "b c " * 300_000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r for r in bpe.encoded(docs, PATH).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i].ids == " ".join(map(str, LIBRARY.encode(t or "", add_special_tokens=False).ids))
+    assert bpe.digests(docs.limit(0), PATH).collect() == []

@@ -60,3 +60,28 @@ def test_pack_keeps_columns_and_refuses_what_does_not_fit(spark):
     assert packing.pack(items.limit(0), 10).collect() == []
     with pytest.raises(ValueError):
         packing.pack(items.withColumnRenamed("name", "offset"), 10)
+
+
+def test_texts_of_megabytes_in_one_batch(spark):
+    texts = ["word é " * 300_000, "a", "b c " * 500_000, None]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, piece string").coalesce(1)
+    rows = packing.packed_digests(docs, RANKS).collect()
+    plain = packing.byte_encoding(RANKS)
+    for i, t in enumerate(texts):
+        of = sorted((r.start, r.length) for r in rows if r.doc_id == i)
+        assert sum(n for _, n in of) == len(plain.encode_ordinary(t or "")) + 1 and [a for a, _ in of] == [sum(n for _, n in of[:k]) for k in range(len(of))]
+
+
+def test_packing_goes_on_until_one_task_packs_the_rest(spark):
+    rng = random.Random(4)
+    lengths = [rng.randint(1, 100) for _ in range(4000)]
+    items = spark.createDataFrame(list(enumerate(lengths)), "i int, length int").repartition(40)
+    rows = packing.pack(items, 100, open_bins=16, rows_a_task=60).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(r.i for r in rows) == list(range(4000))
+    for of in bins.values():
+        of.sort()
+        assert [o for o, _ in of] == [sum(n for _, n in of[:k]) for k in range(len(of))] and sum(n for _, n in of) <= 100
+    assert len(bins) <= 1.1 * sum(lengths) / 100

@@ -51,3 +51,11 @@ def test_ranges_of_files_with_odd_names(spark, tmp_path):
         assert 0 < len(r.payload) <= 10
         got[r.file.rsplit("/", 1)[1]] += r.payload
     assert got == want
+
+
+def test_repeated_ids_and_texts_of_megabytes_in_one_batch(spark):
+    texts = ["word é " * 400_000, "a", "b c " * 700_000, "a", None]
+    docs = spark.createDataFrame(list(zip([5, 5, 5, 5, 6], texts)), "doc_id long, text string").coalesce(1)
+    rows = tokencount.document_token_counts(docs, RANKS).collect()
+    plain = packing.byte_encoding(RANKS)
+    assert sorted((r.doc_id, r.n_tokens) for r in rows) == sorted((i, len(plain.encode_ordinary(t or ""))) for i, t in zip([5, 5, 5, 5, 6], texts))

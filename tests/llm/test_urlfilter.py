@@ -55,3 +55,13 @@ def test_equal_rules_with_different_verdicts_block(spark):
     for rules in ([("com", "/x", "block"), ("com", "/x", "allow")], [("com", "/x", "allow"), ("com", "/x", "block")]):
         for most in (1 << 20, 0):
             assert [r.verdict for r in urlfilter.judged(pages, rules, most_mapped=most).collect()] == ["block"]
+
+
+def test_null_and_upper_case_rules_are_the_same_mapped_and_joined(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x"), (2, "http://B.com/y"), (3, None), (4, "http://c.com/z"), (None, "nothing")], "page_id long, url string")
+    rules = [("A.COM", "/x", "block"), ("b.com", "/y", None), (None, "/z", "block"), ("c.com", None, "block"), ("c.com", "/z", "odd")]
+    want = {1: ("a.com/x", "block"), 2: ("b.com/y", "allow"), 3: (None, "block"), 4: ("c.com/z", "allow"), None: (None, "block")}
+    for most in (1 << 20, 0):
+        got = urlfilter.judged(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), otherwise="block", most_mapped=most)
+        assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == want
+    assert urlfilter.judged(pages.limit(0)).collect() == []
