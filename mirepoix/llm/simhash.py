@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirepoix.llm.blocks import in_blocks
@@ -122,12 +122,19 @@ class Forest:
     def __init__(self, n: int):
         self.label = np.arange(n)
 
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            la, lb = self.label[a], self.label[b]
+    def link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Adds links; returns which of them join what was apart: a spanning forest of them, earlier ones first."""
+        used, at = [], np.arange(len(a))
+        while True:
+            la, lb = self.label[a[at]], self.label[b[at]]
             apart = la != lb
-            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            np.minimum.at(self.label, np.maximum(la, lb), np.minimum(la, lb))
+            at, la, lb = at[apart], la[apart], lb[apart]
+            if not len(at):
+                return np.concatenate(used) if used else at
+            upper, lower = np.maximum(la, lb), np.minimum(la, lb)
+            _, first = np.unique(upper, return_index=True)  # each group joins a smaller one by its earliest link
+            used.append(at[first])
+            self.label[upper[first]] = lower[first]
             while True:
                 up = self.label[self.label]
                 if (up == self.label).all():
@@ -145,14 +152,14 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def local_links(band: np.ndarray, prints: np.ndarray, role: np.ndarray, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): rows that make a spanning forest of the links in one block. role: 0 guest, 1 partner of guests only, 2 resident.
+    """(a, b): linked rows, a spanning forest of the links in one block. role: 0 guest, 1 partner of guests only, 2 resident.
 
     Residents are compared with each other and with all guests, partners with guests only. The tree over `band` is
     carried on below the shard, on random vantages, to leaves of a few hundred; there, rows within `bits` of each other
-    are linked if their prints, rows of 64-bit words, are within `radius`.
+    are linked if their prints, rows of 64-bit words, are within `radius`, the nearer ones first.
     """
     rng, forest = np.random.default_rng(11), Forest(len(band))
-    todo = [(np.flatnonzero(role), np.flatnonzero(role == 0))]
+    todo, kept = [(np.flatnonzero(role), np.flatnonzero(role == 0))], []
     while todo:
         home, guest = todo.pop()
         if not len(home) or not len(guest) and not (role[home] == 2).any():
@@ -171,10 +178,13 @@ def local_links(band: np.ndarray, prints: np.ndarray, role: np.ndarray, bits: in
                 apart = forest.label[i] != forest.label[j]  # what is linked already needs no second proof
                 i, j = i[apart], j[apart]
                 # two partners are never compared, a partner and a resident never share a block
-                linked = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= radius
-                forest.link(i[linked], j[linked])
-    moved = np.flatnonzero(forest.label != np.arange(len(band)))
-    return moved, forest.label[moved]
+                distance = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64)
+                linked = np.argsort(distance, kind="stable")[: int((distance <= radius).sum())]
+                joining = linked[forest.link(i[linked], j[linked])]
+                kept.append((i[joining], j[joining]))
+    if not kept:
+        return np.arange(0), np.arange(0)
+    return tuple(np.concatenate(x) for x in zip(*kept))  # type: ignore[return-value]
 
 
 def band_links(prints: DataFrame, bits: int, radius: int, shard_rows: int = 2048, sample_rows: int = 1 << 20) -> DataFrame:
@@ -184,7 +194,8 @@ def band_links(prints: DataFrame, bits: int, radius: int, shard_rows: int = 2048
     There is one vantage-point tree for each band, where so small a distance prunes well. The trees' upper levels are
     fitted on a hash sample of up to `sample_rows` nodes, eight for each leaf, and have a leaf for each `shard_rows`
     nodes; every node is routed. A leaf with far more rows is cut into pairs of chunks, so that no task holds it
-    whole; each block returns a spanning forest of its links, never all pairs. Nodes must not repeat.
+    whole; each block returns a spanning forest of its links, pairs that are linked themselves, but never all of them.
+    Nodes must not repeat.
     """
     n = prints.count()
     leaves = max(1, -(-n // shard_rows))
@@ -271,20 +282,53 @@ def wide_print(hashes: np.ndarray, words: int, wide: int) -> bytes:
     return np.packbits(2 * ones > len(shingles), bitorder="little").tobytes()
 
 
-def print_radius(similarity: float, bits: int) -> int:
-    """Differing bits that nine in ten pairs of this shingle similarity (Jaccard, sets of equal size) stay within."""
+def print_radius(similarity: float, bits: int, deviations: float = 2.3) -> int:
+    """Differing bits that 99 in 100 pairs of this shingle similarity (Jaccard, sets of equal size) stay within."""
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + 1.3 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + deviations * np.sqrt(bits * p * (1 - p)))
+
+
+def _text_key() -> list[Column]:
+    """A text's identity: two 64-bit hashes."""
+    return [F.xxhash64(F.lit(seed), F.coalesce("text", F.lit(""))).alias(name) for seed, name in ((1, "x1"), (2, "x2"))]
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles of so many words; of fewer words, their whole sequence's."""
+    hashes = word_hashes(text)[0]
+    n = min(words, len(hashes))
+    rolled = np.zeros(len(hashes) - n + 1 if n else 0, np.uint64)
+    for k in range(n):
+        rolled = rolled * np.uint64(0xD6E8FEB86659FD93) + hashes[k : len(hashes) - n + 1 + k]
+    return np.unique((rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose nodes' sets, (node, shingles: sorted distinct 64-bit numbers), have this Jaccard similarity or more."""
+
+    def batches(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            keep = []
+            for one, other in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (one, other))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if len(x) and len(y) else 0
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
+        give_back()
+
+    of = lambda side: sets.select(F.col("node").alias(side), F.col("shingles").alias(f"{side}_set"))
+    return edges.join(of("a"), "a").join(of("b"), "b").select("a", "b", "a_set", "b_set").mapInArrow(batches, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, bands: int = 12, wide: int = 4) -> DataFrame:
     """(doc_id, component_id) for each row: the smallest doc_id that links reach, where texts are linked whose sets of
-    `words`-word shingles have about `similarity` or more in common.
+    `words`-word shingles have a Jaccard similarity of `similarity` or more.
 
     Candidates agree within one bit on one of `bands` 32-bit bands of a SimHash over two-word shingles, which are found
-    through vantage-point trees. Of these, texts are linked whose SimHashes of 64 * `wide` bits over `words`-word
-    shingles are within `print_radius`. On the test documents about 0.9 of the pairs of similarity 0.8 or more share a
-    band. Nine in ten pairs at 0.8 are within the radius, and about one in ten at 0.63.
+    through vantage-point trees, and their SimHashes of 64 * `wide` bits over `words`-word shingles are within
+    `print_radius`. Each block proposes a spanning forest of its candidates, the nearest first, and the shingle sets of
+    each proposed pair are compared: no pair below the similarity is linked. Texts with the same prints are one. On the
+    test documents about 0.9 of the pairs of similarity 0.8 or more share a band, and 99 in 100 are within the radius.
 
     A-Z are lower-cased; words lie between ASCII white space. Null and empty texts are similar to each other alone.
     Repeated rows stay repeated. A null doc_id keeps its row; it is nobody's component_id unless all of a component
@@ -298,15 +342,26 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 for x in batch.column(1).cast(pa.large_binary()):
                     hashes = word_hashes(x.as_py() or b"")[0]
                     made.append((wide_print(hashes, 2, bands // 2), wide_print(hashes, words, wide)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in zip(*made))], names=["doc_id", "search", "check"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *(pa.array(c, pa.binary()) for c in zip(*made))], names=["doc_id", "x1", "x2", "search", "check"])
+        give_back()
+
+    def shingled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in stream:
+            for batch in slices(whole, 1):
+                sets = [shingle_set(x.as_py() or b"", words).astype("<u8").tobytes() for x in batch.column(1).cast(pa.large_binary())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
         give_back()
 
     kind = docs.select(doc_id).dtypes[0][1]
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    each = settled(rows.mapInArrow(batches, f"doc_id {kind}, search binary, check binary"), "wide-prints")
-    groups = each.groupBy("search", "check").agg(F.min("doc_id").alias("first"))
+    each = settled(rows.select("doc_id", "text", *_text_key()).mapInArrow(batches, f"doc_id {kind}, x1 long, x2 long, search binary, check binary"), "wide-prints")
+    groups = each.groupBy("search", "check").agg(F.min("doc_id").alias("first"), F.min(F.struct("x1", "x2")).alias("one"))
     groups = settled(groups.withColumn("node", F.monotonically_increasing_id()), "distinct-prints")
-    roots = connected_components(band_links(groups, 1, print_radius(similarity, 64 * wide)))
+    edges = settled(band_links(groups, 1, print_radius(similarity, 64 * wide)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed-links")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups.select("node", "one.x1", "one.x2"), "node")
+    texts = rows.select("text", *_text_key()).join(ends, ["x1", "x2"]).select("node", "text")
+    sets = settled(texts.mapInArrow(shingled, "node long, shingles binary").groupBy("node").agg(F.any_value("shingles").alias("shingles")), "shingle-sets")
+    roots = connected_components(settled(confirmed(edges, sets, similarity), "links"))
     rooted = groups.join(roots, "node", "left").select("search", "check", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(least, "root").select("search", "check", "component_id")
