@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mirepoix.plans import adaptation, cleaning, documents, foods, graphs, matching, nutrition, registry, reports, rules, searches, sync, texts, weights
+from mirepoix.plans import adaptation, cleaning, documents, foods, graphs, matching, nutrition, registry, renames, reports, rules, searches, sync, texts, weights
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

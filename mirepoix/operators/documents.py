@@ -84,3 +84,14 @@ def free_ids(rows: DataFrame, key: str, digits: int = 10) -> DataFrame:
         raise ValueError(f"{n} keys for {modulus} ids")
     new_id = (F.col("nth__") - 1 + F.greatest("ahead__", F.lit(beyond))) % modulus
     return probed.withColumn("new_id", new_id).drop("hash__", "nth__", "ahead__")
+
+
+def content_checksum(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row (n, checksum) of a table: the sums of both halves of its rows' MD5 digests, whatever their order.
+
+    Any changed value, and any row more, less or twice, changes it. Columns are compared as strings, null apart from
+    empty: those whose string form differs between stores are to be made strings before. No rows: 0 and "0:0".
+    """
+    digest = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.concat(F.lit("="), F.replace(F.col(c).cast("string"), F.lit("\x1f"), F.lit("\x1f\x1f"))), F.lit("-")) for c in columns)))
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string")
+    return rows.agg(F.count("*").alias("n"), F.concat_ws(":", half(1), half(16)).alias("checksum"))

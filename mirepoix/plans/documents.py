@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -137,11 +140,18 @@ def reference_against_calculated(spark, sf_dir):
     return both.agg(F.count("*").alias("n"), steady(F.avg(F.abs(F.col("reference") - F.col("calculated"))), 3).alias("deviation"))
 
 
-@query("suitability_gate", "SELECT p_partkey, p_partkey % 7 AS position, count(DISTINCT l_orderkey) AS n_items FROM part LEFT JOIN lineitem ON l_partkey = p_partkey WHERE p_size <= 10 AND p_name NOT LIKE '%red%' GROUP BY p_partkey")
+@query(
+    "suitability_gate",
+    """WITH c AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS position FROM lineitem GROUP BY ALL), u AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS n_items FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY position, l_partkey)::INT AS nth, n_items FROM c JOIN u USING (l_partkey) JOIN part ON p_partkey = l_partkey WHERE p_size <= 40 AND p_name NOT LIKE '%red%'""",
+)
 def suitability_gate(spark, sf_dir):
-    candidates = table(spark, sf_dir, "part").where("p_size <= 10 and p_name not like '%red%'").select("p_partkey", (F.col("p_partkey") % 7).alias("position"))
-    used = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count_distinct("l_orderkey").alias("n_items"))
-    return candidates.join(used, "p_partkey", "left").select("p_partkey", "position", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").where("p_size <= 40 and p_name not like '%red%'")
+    used = line.groupBy("l_partkey").agg(F.count_distinct("l_orderkey").alias("n_items"))
+    candidates = line.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("position"))  # in the order that the item lists them
+    suitable = candidates.join(part.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi").join(used, "l_partkey")
+    nth = F.row_number().over(W.partitionBy("l_orderkey").orderBy("position", "l_partkey"))
+    return suitable.select("l_orderkey", "l_partkey", nth.alias("nth"), "n_items")
 
 
 @query(
@@ -168,12 +178,20 @@ def positional_merge(spark, sf_dir):
     return least(0, "energy_kcal", "kcal").join(second, ["item_id", "position"], "full")
 
 
-@query("key_type_fallback", "WITH k AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN CAST(user_id AS VARCHAR) ELSE '00' || user_id END AS key FROM events) SELECT event_id, coalesce(a.c_custkey, b.c_custkey) AS custkey FROM k LEFT JOIN customer a ON CAST(a.c_custkey AS VARCHAR) = key LEFT JOIN customer b ON b.c_custkey = try_cast(key AS BIGINT)")
+@query(
+    "key_type_fallback",
+    """WITH k AS (SELECT event_id, CASE event_id % 3 WHEN 0 THEN CAST(user_id AS VARCHAR) WHEN 1 THEN '00' || user_id ELSE c_name END AS key FROM events LEFT JOIN customer ON c_custkey = user_id),
+s AS (SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN c_name ELSE CAST(c_custkey AS VARCHAR) END AS stored FROM customer)
+SELECT event_id, coalesce(a.c_custkey, b.c_custkey) AS custkey, CASE WHEN a.c_custkey IS NOT NULL THEN 'string' WHEN b.c_custkey IS NOT NULL THEN 'number' ELSE 'none' END AS matched_by FROM k LEFT JOIN s a ON a.stored = key LEFT JOIN s b ON try_cast(b.stored AS BIGINT) = try_cast(key AS BIGINT)""",
+)
 def key_type_fallback(spark, sf_dir):
-    key = F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")).otherwise(F.concat(F.lit("00"), "user_id"))
-    # both spellings of a number are one number: one join where the first by string, then by number would be two
-    rows = table(spark, sf_dir, "events").select("event_id", key.try_cast("long").alias("c_custkey"))
-    return rows.join(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("custkey")), "c_custkey", "left").select("event_id", "custkey")
+    customer = table(spark, sf_dir, "customer")
+    users = table(spark, sf_dir, "events").join(customer, F.col("c_custkey") == F.col("user_id"), "left")
+    key = F.when(F.col("event_id") % 3 == 0, F.col("user_id").cast("string")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("00"), "user_id")).otherwise(F.col("c_name"))
+    stored = customer.select("c_custkey", F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")).alias("stored"))
+    steps = [("string", F.col("key"), stored, "stored", "c_custkey"), ("number", F.col("key").try_cast("long"), stored.select("c_custkey", F.col("stored").try_cast("long").alias("stored")), "stored", "c_custkey")]
+    found = X.cascade(users.select("event_id", key.alias("key")), steps)
+    return found.select("event_id", F.col("value").alias("custkey"), "matched_by")
 
 
 @query("occurrence_counter", "SELECT l_orderkey, l_partkey, l_extendedprice, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY l_linenumber, l_extendedprice) AS occurrence FROM lineitem")
@@ -274,14 +292,28 @@ def carry_over(spark, sf_dir):
     return D.carried_over(fresh, old, "id", ["note", "course"])
 
 
-@query("store_checksums", " UNION ALL ".join(f"SELECT '{t}' AS store, count(*) AS n, sha256(string_agg(k, ',' ORDER BY k)) AS checksum FROM (SELECT CAST({k} % 100 AS VARCHAR) || ':' || count(*) AS k, count(*) AS c FROM {t} GROUP BY {k} % 100)" for t, k in (("orders", "o_orderkey"), ("part", "p_partkey"), ("events", "event_id"))))
+#: Stores and their columns, numbers with fractions in cents and moments in seconds: (name, in Spark, in SQL).
+_STORES = {
+    "orders": [("o_orderkey",) * 2, ("o_custkey",) * 2, ("o_orderstatus",) * 2, ("cast(round(o_totalprice * 100) as bigint)",) * 2, ("timestampdiff(SECOND, timestamp_ntz'1970-01-01', cast(o_orderdate as timestamp_ntz))", "epoch_us(o_orderdate::TIMESTAMP) // 1000000"), ("o_orderpriority",) * 2],
+    "part": [("p_partkey",) * 2, ("p_name",) * 2, ("p_brand",) * 2, ("p_type",) * 2, ("p_size",) * 2, ("cast(round(p_retailprice * 100) as bigint)",) * 2],
+    "events": [("event_id",) * 2, ("user_id",) * 2, ("event_type",) * 2, ("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', cast(ts as timestamp_ntz))", "epoch_us(ts::TIMESTAMP)"), ("props",) * 2],
+    "documents": [("doc_id",) * 2, ("text",) * 2, ("lang",) * 2, ("source",) * 2],
+}
+
+
+def _checksum_sql(store: str) -> str:
+    row = ", ".join(f"coalesce('=' || replace(({c})::VARCHAR, chr(31), chr(31) || chr(31)), '-')" for _, c in _STORES[store])
+    half = lambda at: f"coalesce(sum(CAST('0x' || substr(d, {at}, 15) AS HUGEINT)), 0)::VARCHAR"
+    return f"SELECT '{store}' AS store, count(*) AS n, {half(1)} || ':' || {half(16)} AS checksum FROM (SELECT md5(concat_ws(chr(31), {row})) AS d FROM {store})"
+
+
+@query("store_checksums", " UNION ALL ".join(map(_checksum_sql, _STORES)))
 def store_checksums(spark, sf_dir):
-    out = None
-    for name, key in (("orders", "o_orderkey"), ("part", "p_partkey"), ("events", "event_id")):
-        buckets = table(spark, sf_dir, name).groupBy((F.col(key) % 100).alias("bucket")).agg(F.count("*").alias("c"))  # a hundred rows at most
-        one = buckets.agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "bucket", "c"))), ","), 256).alias("checksum")).select(F.lit(name).alias("store"), "n", "checksum")
-        out = one if out is None else out.union(one)
-    return out
+    sums = []
+    for store, columns in _STORES.items():
+        rows = table(spark, sf_dir, store).selectExpr(*(f"{c} as c{i}" for i, (c, _) in enumerate(columns)))
+        sums.append(D.content_checksum(rows, rows.columns).select(F.lit(store).alias("store"), "n", "checksum"))
+    return reduce(DataFrame.union, sums)
 
 
 @query("composition_lookup", "SELECT l_orderkey, l_linenumber, l_extendedprice, p_name, p_retailprice FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R'")
