@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mirepoix.functions import food_classes as C
-from mirepoix.operators import foods, neighbours
+from mirepoix.operators import foods, intents, neighbours
 from mirepoix.plans.registry import query
 from mirepoix.plans.tables import table
 from mirepoix.plans.weights import _N, FOODS, _food, _list
@@ -74,3 +74,18 @@ def nutrition_match_pairs(spark, sf_dir):
     aliases = part.where("p_size = 3").select(F.concat_ws(" ", "p_name", _food("p_partkey")).alias("alias"), F.col("p_partkey").alias("food_id"), called.alias("label"))
     links = part.where("p_size = 4").select(F.concat_ws(" ", "p_name", _food("p_partkey")).alias("name"), F.col("p_partkey").alias("food_id"), called.alias("label"), F.lit(0.9).alias("similarity"))
     return foods.best_foods(names, pool, aliases, links, letters).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("include_exclude")
+def include_exclude(spark, sf_dir):
+    """What each turn asks for and rules out, of the names of parts and foods: turns say so after their own text."""
+    said, part = table(spark, sf_dir, "conversations"), table(spark, sf_dir, "part")
+    names = part.select(F.col("p_partkey").alias("nth"), "p_name")
+    turns = said.withColumn("nth", F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(190)) + 1).join(names, "nth").withColumn("key", F.col("conv_id") + F.col("turn"))
+    cues = [F.lit("with"), F.lit("without"), F.lit("no"), F.lit("allergic to"), F.lit("and any"), F.lit("free from")]
+    cue = F.element_at(F.array(*cues), (F.col("key") % len(cues) + 1).cast("int"))
+    text = F.concat_ws(" ", "text", cue, "p_name", F.when(F.col("key") % 2 == 0, "or").otherwise("but"), _food("key"), F.when(F.col("key") % 5 == 0, "free"))
+    foods_ = part.select(F.explode(F.array("p_name", _food("p_partkey"), F.substring_index("p_name", " ", -1))).alias("food"))
+    rows = turns.select(F.struct("conv_id", "turn").alias("id"), text.alias("text"))
+    found = intents.wanted_and_excluded(rows, foods_)
+    return found.select("id.conv_id", "id.turn", F.array_join("include", ", ").alias("include"), F.array_join("exclude", ", ").alias("exclude"))
