@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from mirepoix.operators.scans import running
 from pyspark.sql.types import StructType
 
 
@@ -65,3 +67,33 @@ def named_dimension(spark: SparkSession, folder: str, name: str, names: Sequence
     if name not in names:
         raise KeyError(f"no static table {name!r}")
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of files that each hold one JSON array of objects, however large, read by many tasks; columns of the schema.
+
+    Spark's text reader cuts the files into byte ranges and these after each closing brace. Whether a piece begins in
+    a string follows from the quotes before it, and how deep it lies from the brackets before it outside of strings:
+    two running sums over the files' pieces. Pieces between two places at depth one are a record, joined and parsed.
+    A record must fit a row; fields that the schema doesn't name are left out, those that a record lacks are null.
+    Empty arrays and no files: no rows. Elements that are no objects, and their siblings up to the next object, are null rows.
+    """
+    pieces = spark.read.text(path, lineSep="}").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))
+    plain = F.regexp_replace("value", r"(?s)\\.", "")
+    count = lambda text, chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    without_strings = lambda text: F.regexp_replace(text, r'"[^"]*("|$)', "")
+    opened = lambda text: count(text, "{[") - count(text, "}]")
+    odd = count(F.col("plain"), '"') % 2
+    outside, inside = opened(without_strings(F.col("plain"))), opened(without_strings(F.regexp_replace("plain", r'^[^"]*("|$)', "")))
+    # a piece that ends outside of a string ends with a brace that the cut took away
+    cut = pieces.withColumn("plain", plain).select("file", "block", "nth", "value", odd.cast("long").alias("odd"), (outside - (1 - odd)).cast("long").alias("outside"), (inside - odd).cast("long").alias("inside"))
+    quoted = running(cut, ["file"], ["block", "nth"], {"quotes": ("sum", F.col("odd"))})
+    began_inside = (F.col("quotes") - F.col("odd")) % 2 == 1
+    step = quoted.withColumn("step", F.when(began_inside, F.col("inside")).otherwise(F.col("outside")))
+    deep = running(step, ["file"], ["block", "nth"], {"depth": ("sum", F.col("step"))})
+    ends = deep.withColumn("ends", ((F.col("quotes") % 2 == 0) & (F.col("depth") == 1)).cast("long"))
+    numbered = running(ends, ["file"], ["block", "nth"], {"ended": ("sum", F.col("ends"))}).withColumn("record", F.col("ended") - F.col("ends"))
+    parts = F.array_sort(F.collect_list(F.struct("block", "nth", "value", "ends")))
+    records = numbered.groupBy("file", "record").agg(parts.alias("parts")).where(F.element_at("parts", -1)["ends"] == 1)
+    text = F.regexp_replace(F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), "}"), F.lit("}")), r"^[\s,\[﻿]+", "")
+    return records.select(F.from_json(text, schema).alias("row")).select("row.*")
