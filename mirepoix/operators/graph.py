@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mirepoix.operators.scans import checkpointed
+
 
 def closure(edges: DataFrame, child: str, parent: str, depth: int) -> DataFrame:
     """(desc, anc, depth): each node's ancestors up to `depth` edges away by their least distance, itself at 0.
@@ -24,6 +26,42 @@ def closure(edges: DataFrame, child: str, parent: str, depth: int) -> DataFrame:
     return found.groupBy("desc", "anc").agg(F.min("depth").alias("depth"))
 
 
+def reachable(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(desc, anc, depth): all ancestors of each node by their least distance, itself at 0, however deep and with cycles.
+
+    Each round joins the frontier with the edges and keeps the pairs that no earlier round has, until there is none: as
+    many rounds as the longest shortest path. Null ends are no edges; no edges: no rows.
+    """
+    e = checkpointed(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct())
+    nodes = e.select("c").union(e.select("p")).distinct()
+    found = frontier = checkpointed(nodes.select(F.col("c").alias("desc"), F.col("c").alias("anc"), F.lit(0).alias("depth")))
+    depth = 0
+    while not frontier.isEmpty():
+        depth += 1
+        ahead = frontier.join(e, F.col("anc") == F.col("c")).select("desc", F.col("p").alias("anc")).distinct()
+        frontier = checkpointed(ahead.join(found, ["desc", "anc"], "left_anti").withColumn("depth", F.lit(depth)))
+        found = checkpointed(found.union(frontier))
+    return found
+
+
+def derived_groups(members: DataFrame, closed: DataFrame, groups: DataFrame, item: str, node: str, facet: str = "food_groups", method: str = "taxonomy_derived") -> DataFrame:
+    """(item, evidence) for each item and group that an ancestor of one of its nodes stands for, with where that comes from.
+
+    members: (item, node); closed: (desc, anc, ...); groups: (anc, group), classes that stand for a group. evidence: a
+    struct of facet, value (the group), method, confidence (1, as nothing is guessed), the classes and the nodes that
+    gave it, both sorted. Items without any such ancestor have no row: that is a gap, not a finding.
+    """
+    named = closed.join(groups.select("anc", "group"), "anc").select(F.col("desc").alias(node), "anc", "group").distinct()
+    found = members.select(item, node).distinct().join(named, node).groupBy(item, "group").agg(F.sort_array(F.collect_set("anc")).alias("classes"), F.sort_array(F.collect_set(node)).alias("nodes"))
+    return found.select(item, F.struct(F.lit(facet).alias("facet"), F.col("group").alias("value"), F.lit(method).alias("method"), F.lit(1.0).alias("confidence"), "classes", "nodes").alias("evidence"))
+
+
+def merged_evidence(*sources: DataFrame) -> DataFrame:
+    """(node, label, sources, terms) of several (node, label, source, term): one row a node and label, both lists sorted, a null term none."""
+    rows = reduce(DataFrame.unionByName, (s.select("node", "label", "source", "term") for s in sources))
+    return rows.groupBy("node", "label").agg(F.sort_array(F.collect_set("source")).alias("sources"), F.sort_array(F.collect_set("term")).alias("terms"))
+
+
 def having_all(edges: DataFrame, item: str, predicates: list[Column]) -> DataFrame:
     """Items that for each predicate have an edge which fulfils it (relational division), in one aggregation."""
     hits = edges.groupBy(item).agg(*(F.bool_or(p).alias(f"p{i}") for i, p in enumerate(predicates)))

@@ -90,3 +90,19 @@ def filled(rows: DataFrame, extra: DataFrame, key: str, fields: Sequence[str]) -
     """rows with missing (null or blank) fields taken from extra; of repeated keys there the last by value counts."""
     one = extra.groupBy(key).agg(*(F.max(f).alias(f"e__{f}") for f in fields))
     return rows.join(one, key, "left").select(*(F.coalesce(F.nullif(c, F.lit("")), f"e__{c}").alias(c) if c in fields else F.col(c) for c in rows.columns))
+
+
+def with_status(rows: DataFrame, asked: DataFrame, key: str, status: str, reason: str, default: str = "active") -> DataFrame:
+    """rows with status and reason set where asked (key) names them, and outcome: updated, unchanged (they had it) or kept.
+
+    A null status is the default. Ids that no row has come back as rows of their own with outcome not_found and nulls
+    else; asked's nulls and repeats count for nothing.
+    """
+    wanted = asked.select(F.col(key).alias("asked__")).where("asked__ is not null").distinct()
+    joined = rows.join(wanted, F.col(key) == F.col("asked__"), "full_outer")
+    hit, there = F.col("asked__").isNotNull(), F.col(key).isNotNull()
+    had = F.coalesce("status", F.lit(default))
+    outcome = F.when(hit & ~there, "not_found").when(hit & (had == status), "unchanged").when(hit, "updated").otherwise("kept")
+    changed = outcome == "updated"
+    set_ = {"status": F.when(changed, status).when(there | ~hit, had), "reason": F.when(changed, reason).otherwise(F.col("reason")), key: F.coalesce(key, "asked__")}
+    return joined.select(*(set_[c].alias(c) if c in set_ else F.col(c) for c in rows.columns), outcome.alias("outcome"))
