@@ -22,20 +22,30 @@ def postings(docs: DataFrame, doc_id: str, fields: Sequence[str]) -> DataFrame:
     return words.groupBy("doc_id", "field", "term").agg(F.array_sort(F.collect_list("pos")).alias("positions"), F.first("length").alias("length"))
 
 
-def asked(queries: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(query_id, kind, n, i, term): the words of each query (query_id, kind, text), by their place i.
+def asked(queries: DataFrame) -> DataFrame:
+    """(query_id, kind, n, i, term, open): the words of each query (query_id, kind, text), by their place i.
 
-    The last word of a phrase_prefix stands for all words of the vocabulary (term) that begin with it: these meet it
-    through their beginnings, an equi-join. Repeated words of and, or are one; wordless queries ask for nothing.
+    The last word of a phrase_prefix is open: it stands for all words that begin with it. Repeated words of and, or are
+    one; wordless queries and those of another kind ask for nothing.
     """
     words = T.words(F.col("text"))
     whole = F.when(F.col("kind").isin("and", "or"), F.array_distinct(words)).otherwise(words)
     split = queries.where(F.col("kind").isin(*KINDS)).select("query_id", "kind", whole.alias("words")).where("size(words) > 0").withColumn("n", F.size("words"))
     terms = split.select("query_id", "kind", "n", F.posexplode("words").alias("i", "term"))
-    last = (F.col("kind") == "phrase_prefix") & (F.col("i") == F.col("n") - 1)
-    begins = vocabulary.select("term").distinct().select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.left("term", k))).alias("begin"))
-    prefixes = terms.where(last).withColumnRenamed("term", "begin")
-    return terms.where(~last).unionByName(prefixes.join(begins, "begin").select("query_id", "kind", "n", "i", "term"))
+    return terms.withColumn("open", (F.col("kind") == "phrase_prefix") & (F.col("i") == F.col("n") - 1))
+
+
+def _met(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings that the terms meet. An open word is compared with the words of those fields alone that hold all the
+    others of its phrase; one that is a phrase by itself meets all words through their beginnings, an equi-join."""
+    columns = ["query_id", "kind", "n", "i", "term", "doc_id", "field", "positions", "length"]
+    fixed = terms.where("not open").join(index, "term").select(columns)
+    open_ = terms.where("open").withColumnRenamed("term", "begin")
+    held = fixed.where("kind = 'phrase_prefix'").groupBy("query_id", "doc_id", "field", "n").agg(F.size(F.collect_set("i")).alias("hits")).where("hits = n - 1").select("query_id", "doc_id", "field")
+    after = held.join(open_.where("n > 1"), "query_id").join(index, ["doc_id", "field"]).where(F.startswith("term", "begin")).select(columns)
+    begins = index.select("term").distinct().select("term", F.explode(F.transform(F.sequence(F.lit(1), F.length("term")), lambda k: F.left("term", k))).alias("begin"))
+    alone = open_.where("n = 1").join(begins, "begin").join(index, "term").select(columns)
+    return fixed.union(after).union(alone)
 
 
 def search(index: DataFrame, queries: DataFrame, weights: Mapping[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
@@ -44,25 +54,26 @@ def search(index: DataFrame, queries: DataFrame, weights: Mapping[str, float], k
     index: postings; queries: (query_id, kind, text). A phrase's words stand next to each other; a phrase_prefix ends
     within a word; `and` asks for all words in one field, `or` for any. Score: the field's BM25 of the words times its
     weight, of the best field, ties to the field's name; idf and mean length are of the field. starts: where phrases
-    begin, or all places of the words. Texts are met through their words; starting places of phrases are cut down term
-    by term within a document, so that frequent words make no pairs.
+    begin; null for and, or. Texts are met through their words; starting places of phrases are cut down term by term
+    within a document, so that frequent words make no pairs.
     """
-    terms = asked(queries, index)
     fields = index.select("doc_id", "field", "length").distinct().groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean"))
     df = index.groupBy("field", "term").agg(F.count("*").alias("df"))
     shares = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))
-    met = terms.join(index.where(F.col("field").isin(list(weights))), "term").join(df, ["field", "term"]).join(fields, "field")
+    met = _met(index.where(F.col("field").isin(list(weights))), asked(queries)).join(df, ["field", "term"]).join(fields, "field")
     tf = F.size("positions")
     part = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    begun = F.when(F.col("kind").startswith("phrase"), F.transform("positions", lambda p: p - F.col("i"))).otherwise(F.col("positions"))
-    # words that stand for the same place of a query, those of a prefix, are one place
-    places = met.groupBy("query_id", "kind", "n", "doc_id", "field", "i").agg(F.sum(part).alias("part"), F.flatten(F.collect_list(begun)).alias("begun"))
-    found = places.groupBy("query_id", "kind", "n", "doc_id", "field").agg(F.sum("part").alias("bm25"), F.count("*").alias("hits"), F.collect_list("begun").alias("begun"))
-    common = F.reduce(F.slice("begun", 2, F.greatest(F.size("begun") - 1, F.lit(0))), F.element_at("begun", 1), lambda acc, x: F.array_intersect(acc, x))
+    of = ["query_id", "doc_id", "field"]
+    sums = met.groupBy(*of, "kind", "n").agg(F.sum(part).alias("bm25"), F.size(F.collect_set("i")).alias("hits"))
+    held = sums.where((F.col("hits") == F.col("n")) | (F.col("kind") == "or")).select(*of, "kind", (F.col("bm25") * shares[F.col("field")]).alias("score"))
     phrase = F.col("kind").startswith("phrase")
-    starts = F.array_sort(F.array_distinct(F.when(phrase, common).otherwise(F.flatten("begun"))))
-    good = found.where((F.col("hits") == F.col("n")) | (F.col("kind") == "or")).withColumn("starts", starts).where("size(starts) > 0")
-    best = F.max(F.struct((F.col("bm25") * shares[F.col("field")]).alias("score"), F.col("field"), F.col("starts"))).alias("best")
+    # places are looked at only where all words of a phrase are; words for the same place of it, those of a prefix, are one
+    begun = met.where(phrase).select(*of, "i", F.transform("positions", lambda p: p - F.col("i")).alias("begun")).join(held.where(phrase).select(*of), of, "left_semi")
+    places = begun.groupBy(*of, "i").agg(F.flatten(F.collect_list("begun")).alias("begun")).groupBy(*of).agg(F.collect_list("begun").alias("begun"))
+    common = F.reduce(F.slice("begun", 2, F.greatest(F.size("begun") - 1, F.lit(0))), F.element_at("begun", 1), lambda acc, x: F.array_intersect(acc, x))
+    standing = places.select(*of, F.array_sort(F.array_distinct(common)).alias("starts")).where("size(starts) > 0")
+    good = held.where(phrase).join(standing, of).unionByName(held.where(~phrase).withColumn("starts", F.lit(None).cast("array<int>")))
+    best = F.max(F.struct("score", "field", "starts")).alias("best")
     return good.groupBy("query_id", "doc_id").agg(best).select("query_id", "doc_id", "best.score", "best.field", "best.starts")
 
 
