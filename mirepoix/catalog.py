@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mirepoix.plans import adaptation, cleaning, documents, foods, graphs, matching, nutrition, postings, registry, renames, reports, rules, searches, sync, taxonomy, texts, weights
+from mirepoix.plans import adaptation, cleaning, documents, foods, graphs, matching, names, nutrition, postings, registry, renames, reports, rules, searches, sync, taxonomy, texts, weights
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
