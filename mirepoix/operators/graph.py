@@ -79,16 +79,32 @@ def common_ancestor(pairs: DataFrame, a: str, b: str, closed: DataFrame, depth:
     return out.select(*pairs.columns, related.alias("related"))
 
 
-def nearest_siblings(nodes: DataFrame, node: str, closed: DataFrame, depth: int) -> DataFrame:
-    """(node, sibling, distance): nodes that share the nearest ancestor which any other of `nodes` shares, at most depth up.
+def sibling_groups(nodes: DataFrame, node: str, closed: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """(node, group, distance) and (group, member): each node's nearest ancestor that another of `nodes` has, too, at most depth up.
 
-    closed: (desc, anc, depth). Nodes with an ancestor are dealt by it; the least distance of each node is kept.
+    closed: (desc, anc, depth); of equally near ancestors the least counts. Two rows a node and ancestor at most, never
+    the pairs of a group. Nodes without such an ancestor have no row.
     """
-    up = nodes.select(F.col(node).alias("desc")).join(closed.where(F.col("depth").between(1, depth)), "desc")
+    up = nodes.select(F.col(node).alias("desc")).distinct().join(closed.where(F.col("depth").between(1, depth)), "desc")
     size = up.groupBy("anc").agg(F.count_distinct("desc").alias("n"))
-    nearest = up.join(size.where("n > 1"), "anc").groupBy("desc").agg(F.min_by("anc", F.struct("depth", "anc")).alias("anc"), F.min("depth").alias("distance"))
-    others = up.select("anc", F.col("desc").alias("sibling")).distinct()
-    return nearest.join(others, "anc").where("desc <> sibling").select(F.col("desc").alias(node), "sibling", "distance")
+    shared = up.join(size.where("n > 1"), "anc")
+    nearest = shared.groupBy("desc").agg(F.min_by("anc", F.struct("depth", "anc")).alias("group"), F.min("depth").alias("distance"))
+    return nearest.select(F.col("desc").alias(node), "group", "distance"), shared.select(F.col("anc").alias("group"), F.col("desc").alias("member")).distinct()
+
+
+def nearest_siblings(nodes: DataFrame, node: str, closed: DataFrame, depth: int) -> DataFrame:
+    """(node, sibling, distance): the groups of sibling_groups written out as pairs; for few nodes."""
+    nearest, members = sibling_groups(nodes, node, closed, depth)
+    return nearest.join(members, "group").where(F.col("member") != F.col(node)).select(node, F.col("member").alias("sibling"), "distance")
+
+
+def first_sibling(nodes: DataFrame, node: str, closed: DataFrame, depth: int) -> DataFrame:
+    """(node, sibling, distance): the least other member of each node's nearest group, from the two least of each group."""
+    nearest, members = sibling_groups(nodes, node, closed, depth)
+    first = members.groupBy("group").agg(F.min("member").alias("first"))
+    second = members.join(first, "group").where("member != first").groupBy("group").agg(F.min("member").alias("second"))
+    two = first.join(second, "group")
+    return nearest.join(two, "group").select(node, F.when(F.col("first") != F.col(node), F.col("first")).otherwise(F.col("second")).alias("sibling"), "distance")
 
 
 def three_state(edges: DataFrame, item: str, status: str) -> DataFrame:
