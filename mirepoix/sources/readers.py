@@ -97,3 +97,20 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     records = numbered.groupBy("file", "record").agg(parts.alias("parts")).where(F.element_at("parts", -1)["ends"] == 1)
     text = F.regexp_replace(F.concat(F.array_join(F.transform("parts", lambda p: p["value"]), "}"), F.lit("}")), r"^[\s,\[﻿]+", "")
     return records.select(F.from_json(text, schema).alias("row")).select("row.*")
+
+
+def ontology(spark: SparkSession, path: str, prefix: str = "http://purl.obolibrary.org/obo/") -> tuple[DataFrame, DataFrame]:
+    """(id, uri, label) and (child, parent) of the named classes of RDF/XML files, which are read by byte ranges.
+
+    id: what follows the last slash of a uri under the prefix, else the uri. Parents are named classes only, without
+    restrictions; those that no file describes are nodes, too, without a label. Of a class described more than once the
+    least label counts that isn't blank; in one description the first. Repeated edges are one. No classes: no rows.
+    """
+    schema = "`_rdf:about` string, `rdfs:label` array<struct<_VALUE string>>, `rdfs:subClassOf` array<struct<`_rdf:resource` string>>"
+    classes = spark.read.schema(schema).option("rowTag", "owl:Class").xml(path).toDF("uri", "labels", "parents").where("uri is not null and uri != ''")
+    short = lambda uri: F.when(F.startswith(uri, F.lit(prefix)), F.substring_index(uri, "/", -1)).otherwise(uri)
+    edges = classes.select("uri", F.explode("parents._rdf:resource").alias("parent")).where("parent is not null and parent != ''").distinct()
+    label = F.nullif(F.trim(F.get("labels._VALUE", F.lit(0))), F.lit(""))
+    named = classes.select("uri", label.alias("label")).unionByName(edges.select(F.col("parent").alias("uri"), F.lit(None).cast("string").alias("label")))
+    nodes = named.groupBy("uri").agg(F.min("label").alias("label"))
+    return nodes.select(short(F.col("uri")).alias("id"), "uri", "label"), edges.select(short(F.col("uri")).alias("child"), short(F.col("parent")).alias("parent"))
