@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mirepoix.operators.scans import running
+
 
 def with_subtotals(rows: DataFrame, scope: str, keys: Sequence[str], aggregates: Sequence[Column], all_name: str = "ALL") -> DataFrame:
     """Aggregates by (scope, keys), and by keys alone with scope `all_name`: one pass of grouping sets."""
@@ -42,8 +44,9 @@ def folded(counts: DataFrame, value: str, mapping: DataFrame, variant: str, cano
 
 
 def _counted(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """(g__, v__, c__): how often each value occurs with each keys; counted once, as it is read several times."""
-    each = rows.where(F.col(value).isNotNull()).groupBy(F.struct(*keys).alias("g__"), F.col(value).cast("double").alias("v__"))
+    """(g__, v__, c__): how often each finite value occurs with each keys; counted once, as it is read several times."""
+    number = F.col(value).cast("double")
+    each = rows.where(~F.isnan(number) & (F.abs(number) < float("inf"))).groupBy(F.struct(*keys).alias("g__"), F.col(value).cast("double").alias("v__"))
     return each.agg(F.count("*").alias("c__")).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -51,7 +54,7 @@ def _distribution(counted: DataFrame, keys: Sequence[str], shares: dict[str, flo
     """(keys, n, mean, least, most, a column for each share) from _counted rows: exact quantiles, interpolated between neighbours.
 
     Each group's range is cut into bins of equal width on a logarithmic scale, whose counts tell which bins hold the
-    wanted ranks; the values of these alone are sorted, so that no task sorts a group whole. Values must be finite.
+    wanted ranks; the values of these alone are sorted, in ranges, so that no task sorts a group or a full bin whole.
     """
     v, n = F.col("v__"), F.sum("c__")
     stats = counted.groupBy("g__").agg(n.alias("n"), (F.sum(v * F.col("c__")) / n).alias("mean"), F.min("v__").alias("least"), F.max("v__").alias("most"))
@@ -70,15 +73,17 @@ def _distribution(counted: DataFrame, keys: Sequence[str], shares: dict[str, flo
     before = F.col("upto__") - F.col("n__")
     wanted = F.array(*(F.struct(F.lit(name).alias("name"), weight.alias("weight"), (rank - before).alias("rank")) for name, weight, rank in ends))
     needed = sums.select("g__", "b__", F.filter(wanted, lambda x: (x["rank"] >= 0) & (x["rank"] < F.col("n__"))).alias("wanted__")).where("size(wanted__) > 0")
-    upto = F.sum("c__").over(W.partitionBy("g__", "b__").orderBy("v__").rowsBetween(W.unboundedPreceding, W.currentRow))
-    near = binned.join(needed, ["g__", "b__"]).withColumn("upto__", upto)
+    near = running(binned.join(needed, ["g__", "b__"]), ["g__", "b__"], ["v__"], {"upto__": ("sum", F.col("c__"))})
     hit = near.select("g__", "v__", "c__", "upto__", F.inline("wanted__")).where("rank < upto__ and rank >= upto__ - c__")
     found = hit.groupBy("g__").agg(*(F.sum(F.when(F.col("name") == name, F.col("weight") * v)).alias(name) for name in shares))
     return stats.join(found, "g__").select(*(F.col("g__")[k].alias(k) for k in keys), "n", "mean", "least", "most", *shares)
 
 
 def distribution(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """(keys, n, mean, least, most, a column for each share): exact figures of the values that aren't null, quantiles interpolated."""
+    """(keys, n, mean, least, most, a column for each share): exact figures of the finite values, quantiles interpolated.
+
+    Nulls, NaN and infinite values are left out; keys without any other have no row.
+    """
     return _distribution(_counted(rows, keys, value), keys, shares)
 
 

@@ -33,6 +33,8 @@ def merge_into(events: DataFrame, table: str, checkpoint: str, keys: Sequence[st
     The table is cut into `parts` by a hash of the keys (a number that must stay as it is). Each batch writes new
     versions of the parts that its keys are in, under its own id, and reads those before it. A batch that is repeated
     after a failure replaces its own version from the same input, so each counts once. The newest versions are `latest`.
+    A part's versions before its newest two are deleted: the newest but one is what a repeated batch reads, and what
+    readers that listed the table before this batch still find.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
@@ -42,10 +44,28 @@ def merge_into(events: DataFrame, table: str, checkpoint: str, keys: Sequence[st
         stored = batch.sparkSession.read.parquet(*paths) if paths else batch.limit(0)
         merged = upserted(stored, batch, keys, order).withColumn("part", of)
         merged.repartition("part").write.partitionBy("part").mode("overwrite").parquet(f"{table}/batch={batch_id:09d}")
+        _forget(batch.sparkSession, table, batch_id, touched)
 
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _forget(spark: SparkSession, table: str, batch_id: int, touched: Sequence[int]) -> None:
+    """Deletes the versions of the touched parts before the newest one that is older than the batch."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = path(table).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # folders alone are listed: of the table, its batches, and of these only the parts that the batch has written
+    batches = sorted(int(f.getPath().getName()[6:]) for f in files.listStatus(path(table)) if f.getPath().getName().startswith("batch="))
+    older = [b for b in batches if b < batch_id]
+    for part in touched:
+        places = [path(f"{table}/batch={b:09d}/part={part}") for b in older]
+        for place in [p for p in places if files.exists(p)][:-1]:
+            files.delete(place, True)
+    for b in older:
+        folder = path(f"{table}/batch={b:09d}")
+        if not any(f.getPath().getName().startswith("part=") for f in files.listStatus(folder)):
+            files.delete(folder, True)
+
+
 def _newest(spark: SparkSession, table: str, before: int = 1 << 62) -> dict[int, str]:
     """The folder of each part's newest version that is older than the batch `before`."""
     try:

@@ -66,6 +66,22 @@ def test_stream_merges_by_key_and_resumes(spark, tmp_path):
     assert upserts.versions(spark, out) == before
 
 
+def test_only_the_last_two_versions_of_a_part_stay(spark, tmp_path):
+    src, out, marks = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/marks"
+    run = lambda: upserts.merge_into(upserts.read_events(spark, src, SCHEMA), out, marks, ["user_id"], [F.desc("ts")], parts=3).awaitTermination()
+    want = {}
+    for i in range(7):
+        rows = [(100 * i + u, i, u, float(i)) for u in ([1] if i else range(12))]
+        want |= {u: float(i) for _, _, u, _ in rows}
+        _write(spark, src, rows)
+        run()
+        assert {r.user_id: r.value for r in upserts.latest(spark, out).collect()} == want
+    kept = [p for p in tmp_path.glob("out/batch=*/part=*")]
+    parts = {p.name for p in kept}
+    assert max(sum(p.name == part for p in kept) for part in parts) == 2 and len(kept) == len(parts) + 1
+    assert len([*tmp_path.glob("out/batch=*")]) == 3
+
+
 def test_duplicates_and_windows(spark, tmp_path):
     src = f"{tmp_path}/in"
     _write(spark, src, [(1, 0, 7, 1.0), (1, 2, 7, 1.0), (2, 10, 7, 2.0), (3, 60 * 30, 8, 1.0)])
