@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mirepoix.plans import adaptation, cleaning, composites, declarations, documents, foods, graphs, matching, meals, names, nutrition, postings, registry, renames, reports, rules, searches, substitutes, sync, taxonomy, texts, weights
+from mirepoix.plans import adaptation, cleaning, composites, declarations, documents, foods, graphs, matching, meals, names, nutrition, postings, questions, registry, renames, reports, rules, searches, substitutes, sync, taxonomy, texts, weights
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mirepoix.functions.text import once
+
 # First words of reference names that only say the category, words that are no name, words of preparation
 # before and of portions behind a name, words after which a portion stays, units of a leading quantity.
 CATEGORIES = """spices|spice|sauces|sauce|vegetables|vegetable|fruits|fruit|juices|juice|oils|oil|vinegars|vinegar|syrups|syrup|babyfood
@@ -47,11 +49,6 @@ def _replaced(text: Column, steps: list[tuple[str, str]]) -> Column:
     return reduce(lambda t, step: F.regexp_replace(t, *step), steps, text)
 
 
-def _once(value: Column, use) -> Column:
-    """use(value) with the value worked out once, however often it occurs there."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _singular(s: Column) -> Column:
     ladder = F.when(F.lit(False), s)
     for ending, least, cut, put in PLURALS:
@@ -68,13 +65,13 @@ def ingredient_name(raw: Column) -> Column:
     """
     start = _replaced(raw, BEFORE)
     parts = F.filter(F.transform(F.split(start, ","), lambda p: F.regexp_replace(p, rf"^{_S}+|{_S}+$", "")), lambda p: p != "")
-    joined = _once(parts, lambda p: F.when((F.size(p) > 1) & F.lower(F.get(p, F.lit(0))).isin(CATEGORIES), F.concat_ws(" ", F.get(p, F.lit(0)), F.get(p, F.lit(1)))).otherwise(F.get(p, F.lit(0))))
+    joined = once(parts, lambda p: F.when((F.size(p) > 1) & F.lower(F.get(p, F.lit(0))).isin(CATEGORIES), F.concat_ws(" ", F.get(p, F.lit(0)), F.get(p, F.lit(1)))).otherwise(F.get(p, F.lit(0))))
     chosen = F.when(F.contains(start, F.lit(",")), F.coalesce(joined, start)).otherwise(start)
     lowered = _replaced(F.lower(_replaced(chosen, AFTER)), LOWERED)
-    head = lambda s: F.regexp_extract(s, PORTION, 1)
-    without = _once(lowered, lambda s: F.when((head(s) != "") & ~F.substring_index(F.trim(head(s)), " ", -1).isin(KEEP_BEFORE_PORTION), F.trim(head(s))).otherwise(s))
-    named = _once(_replaced(without, LAST), lambda s: _replaced(_singular(s), ENDS))
-    return _once(named, lambda s: F.when(~s.isin(NOISE) & ~(s.rlike("[0-9]") & (F.length(s) <= 4)), s))
+    split = once(lowered, lambda s: F.struct(s.alias("s"), F.trim(F.regexp_extract(s, PORTION, 1)).alias("head")))
+    without = once(split, lambda x: F.when((x["head"] != "") & ~F.substring_index(x["head"], " ", -1).isin(KEEP_BEFORE_PORTION), x["head"]).otherwise(x["s"]))
+    named = once(_replaced(without, LAST), lambda s: _replaced(_singular(s), ENDS))
+    return once(named, lambda s: F.when(~s.isin(NOISE) & ~(s.rlike("[0-9]") & (F.length(s) <= 4)), s))
 
 
 def canonical_name(raw: Column) -> Column:

@@ -173,3 +173,22 @@ def repaired_fraction(measurement: Column) -> Column:
         s = F.regexp_replace(s, rf"^\s*(\d+)\s+(\d)({den}){end}", "$1 $2/$3")
         s = F.regexp_replace(s, rf"^\s*(\d)({den}){end}", "$1/$2")
     return s
+
+
+def rank_words(question: Column) -> Column:
+    """A question's words that tell of a dish, for ranking; the question itself if it has none."""
+    kept = F.filter(F.regexp_extract_all(F.lower(question), F.lit(r"[\p{L}\p{N}_'-]+"), F.lit(0)), lambda w: ~w.isin(V.RANK_STOP))
+    return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(question)
+
+
+def name_variants(name: Column) -> Column:
+    """The forms under which a food's class is looked up, the plainest last: as it is, cleaned, without words of form, both with synonyms and singulars.
+
+    Empty and repeated forms are left out; a null name has none.
+    """
+    raw, cleaned = F.trim(F.lower(name)), clean_query(name)
+    core = F.btrim(squeezed(F.regexp_replace(cleaned, V.FORM_WORDS, " ")), F.lit(" -'/"))
+    of = F.create_map(*(F.lit(x) for kv in V.SYNONYMS.items() for x in kv))
+    plain = lambda text: F.array_join(F.transform(F.split(text, " "), lambda w: F.transform(F.array(query_singular(w)), lambda t: F.coalesce(of[t], t))[0]), " ")
+    forms = F.transform(F.array(F.struct(cleaned.alias("cleaned"), core.alias("core"))), lambda f: F.array(raw, f["cleaned"], f["core"], plain(f["cleaned"]), plain(f["core"])))[0]
+    return F.array_distinct(F.filter(F.transform(forms, F.trim), lambda v: v != ""))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mirepoix.functions.text import once
+
 # The published point tables for solid foods (a point for each threshold that is exceeded), each 100 g,
 # and the grade cutoffs.
 ENERGY_KJ = (335, 670, 1005, 1340, 1675, 2010, 2345, 2680, 3015, 3350)
@@ -83,3 +85,20 @@ def claims(kcal: Column, fat: Column, fibre: Column, protein: Column) -> Column:
             F.when(protein * 4 / energy >= 0.2, "high_protein"),
         )
     )
+
+
+def label(serving_g: Column, energy_kj: Column, energy_kcal: Column, sugar: Column, saturated: Column, sodium: Column, fibre: Column, protein: Column) -> Column:
+    """The grade of a label's values for one serving of a given weight; null without a weight or with a value missing.
+
+    Energy in kJ is taken from kcal where it isn't given. Labels tell nothing of fruit, which counts as none.
+    Values for 100 g are rounded to six digits, so that one that meets a threshold doesn't exceed it.
+    """
+    each = lambda value: F.round(value / serving_g * 100.0, 6)
+    energy, others = F.coalesce(energy_kj, energy_kcal * KJ_PER_KCAL), (sugar, saturated, sodium, fibre, protein)
+    whole = (serving_g > 0) & energy.isNotNull()
+    for value in others:
+        whole = whole & value.isNotNull()
+    names = ["energy", "sugar", "saturated", "sodium", "fibre", "protein"]
+    values = F.struct(*(each(value).alias(name) for name, value in zip(names, (energy, *others))))
+    found = once(once(values, lambda v: score(*(v[name] for name in names), F.lit(0.0))), grade)
+    return F.when(whole, found)

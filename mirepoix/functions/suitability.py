@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mirepoix.functions.text import once
+
 # Taxonomy classes, keywords and name patterns of each consumer group's rules.
 PLANT_ROOTS = ["FOODON_00001015", "FOODON_00002129", "FOODON_00002134", "FOODON_00002260"]
 VEGAN_ALLERGENS = "milk egg fish crustacean_shellfish molluscs".split()
@@ -90,13 +92,16 @@ def verdict(rule: Rule, name: Column, allergens: Column, roots: Column) -> Colum
     blocked or its name takes it back ("check the label").
     """
     of = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
-    bad_allergens, bad_roots, bad_words = (F.array_intersect(allergens, of(rule.allergens)), F.array_intersect(roots, of(rule.roots)), hits(name, rule.words))
-    reasons = F.concat(bad_allergens, bad_roots, bad_words)
-    blocked = (F.size(reasons) > 0) & ~F.lower(name).rlike(any_of(rule.safe))
     given = lambda c, value: F.when(F.size(c) > 0, F.array(F.lit(value))).otherwise(F.array().cast("array<string>"))
-    bad_sources = F.concat(F.array(F.lit("rules")), given(bad_roots, "taxonomy"), given(allergens, "allergen_evidence"))
-    good_roots, good_words = F.array_intersect(roots, of(rule.good_roots)), hits(name, rule.good_words)
-    good = ((F.size(good_roots) > 0) | (F.size(good_words) > 0)) & ~F.lower(name).rlike(any_of(NO_EVIDENCE))
     row = lambda status, why, sources: F.struct(F.lit(rule.group).alias("group"), F.lit(status).alias("status"), why.alias("reasons"), sources.alias("sources"))
-    good_reasons = F.when(F.size(good_roots) > 0, good_roots).otherwise(F.array(F.lit(EXPLICIT)))
-    return F.when(blocked, row("not_suitable", reasons, bad_sources)).when(good, row("suitable", good_reasons, F.concat(given(good_roots, "taxonomy"), F.array(F.lit("rules")))))
+    bad_roots, good_roots = F.array_intersect(roots, of(rule.roots)), F.array_intersect(roots, of(rule.good_roots))
+    known = F.struct(F.concat(F.array_intersect(allergens, of(rule.allergens)), bad_roots, hits(name, rule.words)).alias("bad"), bad_roots.alias("bad_roots"), allergens.alias("allergens"), good_roots.alias("good"), hits(name, rule.good_words).alias("words"), F.lower(name).alias("name"))
+
+    def told(k: Column) -> Column:
+        blocked = (F.size(k["bad"]) > 0) & ~k["name"].rlike(any_of(rule.safe))
+        good = ((F.size(k["good"]) > 0) | (F.size(k["words"]) > 0)) & ~k["name"].rlike(any_of(NO_EVIDENCE))
+        bad_sources = F.concat(F.array(F.lit("rules")), given(k["bad_roots"], "taxonomy"), given(k["allergens"], "allergen_evidence"))
+        good_reasons = F.when(F.size(k["good"]) > 0, k["good"]).otherwise(F.array(F.lit(EXPLICIT)))
+        return F.when(blocked, row("not_suitable", k["bad"], bad_sources)).when(good, row("suitable", good_reasons, F.concat(given(k["good"], "taxonomy"), F.array(F.lit("rules")))))
+
+    return once(known, told)

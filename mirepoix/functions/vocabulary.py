@@ -106,3 +106,10 @@ GLUTEN_FREE_OPTION = [
     rf"\b(?:for|as)\s+(?:a\s+)?{_GF}\b",
 ]
 AMBIGUOUS_PORTIONS = ["dry yields", "amount to make", "guideline amount per", "prepared", "recipe", "yields", "yield"]
+
+# Words of a question that tell nothing of a dish, words of form in food names.
+RANK_STOP = """a an and any are can cook dish dishes eat evening food for from have how i idea ideas in is it make me meal meals my of on
+or please recipe recipes some something that the to want what with would""".split()
+FORM_WORDS = r"""\b(?:raw|cooked|canned|tinned|boiled|baked|fried|grilled|broiled|steamed|stewed|roasted|microwaved|braised|poached|drained|solids?|fluid|liquid|
+with|without|added|prepared|reconstituted|undiluted|diluted|enriched|fortified|low|fat|free|reduced|whole|skim|skimmed|part|plain|natural|
+regular|original|unflavou?red)\b""".replace("\n", "")

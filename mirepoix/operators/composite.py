@@ -19,7 +19,7 @@ def measured(text: Column) -> Column:
     """The finite number in a cell; null for traces, unknown and empty ones. "<" and ">" before it are left out."""
     plain = F.trim(F.regexp_replace(F.trim(text), r"^[<>]\s*", ""))
     number = F.when(~F.lower(F.trim(text)).isin(ABSENT), T.coerced_number(plain))
-    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    return T.once(number, lambda n: F.when(~F.isnan(n) & (F.abs(n) != float("inf")), n))
 
 
 def assembled(sheets: Sequence[tuple[str, DataFrame, Sequence[str]]], source: str) -> DataFrame:
@@ -63,8 +63,8 @@ def composite(rows: DataFrame, mapping: DataFrame, dropped: DataFrame, sums: Seq
     foods = each.groupBy("source", "code").agg(F.min("food").alias("food"), F.map_from_entries(F.collect_list(F.struct("key", "cell"))).alias("nutrients"))
     found = foods.where("food.food_name is not null and food.food_name != ''").select(F.concat_ws(":", "source", "code").alias("id"), "food.food_name", "source", "food.food_group", "nutrients")
     for source, key, other in sums:
-        found = found.withColumn("nutrients", F.when(F.col("source") == source, _summed(F.col("nutrients"), key, other)).otherwise(F.col("nutrients")))
-    return found.withColumn("nutrients", _with_vitamin_a(F.col("nutrients")))
+        found = found.withColumn("nutrients", F.when(F.col("source") == source, T.once(F.col("nutrients"), lambda n: _summed(n, key, other))).otherwise(F.col("nutrients")))
+    return found.withColumn("nutrients", T.once(F.col("nutrients"), _with_vitamin_a))
 
 
 def _put(nutrients: Column, key: str, unit: Column, value: Column, source_code: Column, when: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mirepoix.operators.scans import running
+from mirepoix.operators.scans import checkpointed, running
 
 
 def with_subtotals(rows: DataFrame, scope: str, keys: Sequence[str], aggregates: Sequence[Column], all_name: str = "ALL") -> DataFrame:
@@ -73,7 +73,7 @@ def _distribution(counted: DataFrame, keys: Sequence[str], shares: dict[str, flo
     before = F.col("upto__") - F.col("n__")
     wanted = F.array(*(F.struct(F.lit(name).alias("name"), weight.alias("weight"), (rank - before).alias("rank")) for name, weight, rank in ends))
     needed = sums.select("g__", "b__", F.filter(wanted, lambda x: (x["rank"] >= 0) & (x["rank"] < F.col("n__"))).alias("wanted__")).where("size(wanted__) > 0")
-    near = running(binned.join(needed, ["g__", "b__"]), ["g__", "b__"], ["v__"], {"upto__": ("sum", F.col("c__"))})
+    near = running(checkpointed(binned.join(needed, ["g__", "b__"])), ["g__", "b__"], ["v__"], {"upto__": ("sum", F.col("c__"))})
     hit = near.select("g__", "v__", "c__", "upto__", F.inline("wanted__")).where("rank < upto__ and rank >= upto__ - c__")
     found = hit.groupBy("g__").agg(*(F.sum(F.when(F.col("name") == name, F.col("weight") * v)).alias(name) for name in shares))
     return stats.join(found, "g__").select(*(F.col("g__")[k].alias(k) for k in keys), "n", "mean", "least", "most", *shares)

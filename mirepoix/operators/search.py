@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mirepoix.operators.scans import checkpointed
+
 
 @dataclass(frozen=True)
 class Constraints:
@@ -61,17 +63,36 @@ def relaxed(rows: DataFrame, c: Constraints, least: int) -> DataFrame:
     return rows.crossJoin(F.broadcast(taken)).where("level <= taken").withColumn("dropped", dropped).drop("taken")
 
 
-def diverse(rows: DataFrame, family: str, rank: Sequence[Column], n: int, per_family: int = 1) -> DataFrame:
+def diverse(rows: DataFrame, family: str, rank: Sequence[Column], n: int, per_family: int = 1, seen: DataFrame | None = None) -> DataFrame:
     """The first n rows by rank that take at most per_family of each family, filled up with the others in rank order.
 
-    Rows without a family (null or empty) are never too many. `rank` must be a total order.
+    Rows without a family (null or empty) are never too many. `rank` must be a total order. seen: (family, seen), how
+    many of a family were taken before, which count; families that it lacks have none.
     """
-    nth, named = F.row_number().over(W.partitionBy(family).orderBy(*rank)), F.coalesce(F.col(family) != "", F.lit(False))
+    if seen is not None:
+        rows = rows.join(seen.select(family, F.col("seen").alias("seen__")), family, "left")
+    before = F.coalesce("seen__", F.lit(0)) if seen is not None else F.lit(0)
+    nth, named = F.row_number().over(W.partitionBy(family).orderBy(*rank)) + before, F.coalesce(F.col(family) != "", F.lit(False))
     first = rows.where(named).withColumn("nth__", nth).where(F.col("nth__") <= per_family)
     alone = rows.where(~named).orderBy(*rank).limit(n).withColumn("nth__", F.lit(0))
     # others are needed only if there are fewer than n of the above, and then the best 2 n rows of all hold enough of them
     others = rows.orderBy(*rank).limit(2 * n).where(named).withColumn("nth__", nth).where(F.col("nth__") > per_family)
-    return first.unionByName(alone).unionByName(others).orderBy(F.col("nth__") > per_family, *rank).limit(n).drop("nth__")
+    return first.unionByName(alone).unionByName(others).orderBy(F.col("nth__") > per_family, *rank).limit(n).drop("nth__", "seen__")
+
+
+def diverse_slots(slots: Sequence[tuple[str, DataFrame]], family: str, rank: Sequence[Column], n: int, per_family: int = 1) -> DataFrame:
+    """(slot, the rows' columns): n rows for each slot of a plan, one after the other, with families counted over all slots so far.
+
+    slots: (name, its candidates), in the plan's order. A slot's choice, n rows at most, is cut from its lineage, so that
+    the next slots read it instead of choosing again.
+    """
+    chosen, taken = None, None
+    for name, rows in slots:
+        seen = None if taken is None else taken.where(F.coalesce(F.col(family) != "", F.lit(False))).groupBy(family).agg(F.count("*").alias("seen"))
+        one = checkpointed(diverse(rows, family, rank, n, per_family, seen).select(F.lit(name).alias("slot"), *rows.columns))
+        chosen = one if chosen is None else chosen.unionByName(one)
+        taken = chosen.select(family)
+    return chosen
 
 
 def page(rows: DataFrame, order: Sequence[Column], start: int, size: int, window: int = 10_000, cap: int = 100) -> DataFrame:

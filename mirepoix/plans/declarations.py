@@ -36,10 +36,10 @@ def _verdicts(rule: S.Rule) -> str:
   {of("roots", rule.good_roots)} AS gr, len({_hits(rule.good_words)}) > 0 AS gw, {_like(S.NO_EVIDENCE)} AS taken_back FROM n"""
 
 
-def _evidence(spark, sf_dir):
+def _evidence(spark, sf_dir, closed):
     roots = spark.createDataFrame(list(ROOTS.items()), "anc long, allergen string")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    found = _closed(spark, sf_dir).join(roots, "anc").select(F.col("desc").alias("node"), "allergen", F.col("anc").cast("string").alias("anc")).join(parts, "node", "left_semi")
+    found = closed.join(roots, "anc").select(F.col("desc").alias("node"), "allergen", F.col("anc").cast("string").alias("anc")).join(parts, "node", "left_semi")
     source = F.when(F.col("node") % 4 == 0, "keyword").otherwise("taxonomy")
     return found.groupBy("node", "allergen").agg(F.sort_array(F.collect_set("anc")).alias("classes")).select("node", "allergen", F.array(source).alias("sources"), "classes", F.array("allergen").alias("terms"))
 
@@ -61,7 +61,8 @@ s AS (SELECT node, grp, 'not_suitable' AS status, list_concat(list_concat(ba, br
 
 
 def _suitability(spark, sf_dir):
-    return D.suitability(_names(spark, sf_dir), _evidence(spark, sf_dir), _closed(spark, sf_dir), "node", "name", RULES)
+    closed = _closed(spark, sf_dir)
+    return D.suitability(_names(spark, sf_dir), _evidence(spark, sf_dir, closed), closed, "node", "name", RULES)
 
 
 @query("group_suitability", f"WITH RECURSIVE {_SUITABILITY} SELECT node, grp AS consumer_group, status, array_to_string(reasons, ',') AS reasons, sources FROM s")
@@ -94,7 +95,7 @@ SELECT outcome, allergen, version, source, created_at, updated_at, count(*) AS n
 )
 def declaration_outcomes(spark, sf_dir):
     """What becomes of declarations: some stored before as they are, changed, under another version, without evidence, or given by a label."""
-    evidence, key = _evidence(spark, sf_dir), F.col("node")
+    evidence, key = _evidence(spark, sf_dir, _closed(spark, sf_dir)), F.col("node")
     how = key % 5
     before = lambda rows, kind, version: rows.select(
         F.concat_ws(":", F.lit("ingredient"), F.col("node").cast("string"), F.lit("allergen"), "allergen", F.lit("version"), version).alias("declaration_id"), "node", "allergen", F.lit(kind).alias("declaration_type"),

@@ -38,7 +38,9 @@ h AS (SELECT CASE WHEN s IS NULL OR s IN {_in(N.NOISE)} OR regexp_matches(s, '[0
 def clause_names(spark, sf_dir):
     """How often each name stands in the clauses of all documents; null counts the clauses that name nothing."""
     clauses = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "[.;\n]")).alias("raw"))
-    return clauses.select(N.ingredient_name(F.col("raw")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    # each distinct clause is worked out once: texts repeat much
+    counted = clauses.groupBy("raw").agg(F.count("*").alias("n"))
+    return counted.select(N.ingredient_name(F.col("raw")).alias("name"), "n").groupBy("name").agg(F.sum("n").alias("n"))
 
 
 _FOLDED = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in N.FOLDED.items()) + "}"
