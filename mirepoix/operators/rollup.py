@@ -9,10 +9,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def weighted_totals(lines: DataFrame, item: str, weight: str, measures: Sequence[str]) -> DataFrame:
-    """(item, total_weight_g, total of each measure): weight / 100 * measure summed; a missing measure counts as 0."""
-    parts = [F.sum(F.col(weight) / 100 * F.coalesce(F.col(m), F.lit(0.0))).alias(m) for m in measures]
-    return lines.groupBy(item).agg(F.sum(weight).alias("total_weight_g"), *parts)
+def weighted_totals(lines: DataFrame, item: str, weight: str, measures: Sequence[str], order: str | None = None) -> DataFrame:
+    """(item, total_weight_g, total of each measure): weight / 100 * measure summed; a missing measure counts as 0.
+
+    order: a column to add an item's lines up by. Sums of doubles depend on the order, and one that meets a threshold
+    may come out above or below it; with a total order they are the same however the lines are dealt out. An item's
+    lines are then sorted, but not held in memory.
+    """
+    values = {"total_weight_g": F.col(weight)} | {m: F.col(weight) / 100 * F.coalesce(F.col(m), F.lit(0.0)) for m in measures}
+    if order is None:
+        return lines.groupBy(item).agg(*(F.sum(v).alias(name) for name, v in values.items()))
+    sorted_ = W.partitionBy(item).orderBy(order)
+    sums = [F.sum(v).over(sorted_.rowsBetween(W.unboundedPreceding, 0)).alias(name) for name, v in values.items()]
+    return lines.select(item, *sums, F.lead(F.lit(True)).over(sorted_).isNull().alias("last__")).where("last__").drop("last__")
 
 
 def coverage(lines: DataFrame, item: str, weight: str, matched: Column, low: float = 0.8) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mirepoix.functions import scoring
 from mirepoix.operators import rollup
 from mirepoix.plans.registry import query
-from mirepoix.plans.tables import LINES, REGIONS, SCORES, lines, regions, scores, steady, table
+from mirepoix.plans.tables import LINES, REGIONS, SCORES, lines, regions, rounded, scores, steady, table
 
 
 def _sql_points(value: str, thresholds) -> str:
@@ -26,7 +26,7 @@ _NEGATIVE = f"{_sql_points('kcal100 * 4.184 / 4', scoring.ENERGY_KJ)} + {_sql_po
 
 
 def _profiles(spark, sf_dir):
-    totals = rollup.weighted_totals(lines(spark, sf_dir), "item_id", "weight_g", ["energy_kcal", "fat_g", "salt_g"])
+    totals = rollup.weighted_totals(lines(spark, sf_dir, placed=True), "item_id", "weight_g", ["energy_kcal", "fat_g", "salt_g"], "place")
     w = F.col("total_weight_g")
     return totals.withColumns({c: scoring.per_100g(F.col(m), w) for c, m in (("kcal100", "energy_kcal"), ("fat100", "fat_g"), ("salt100", "salt_g"))})
 
@@ -44,8 +44,8 @@ SELECT item_id, round(total_weight_g, 4) AS total_weight_g, round(energy_kcal, 4
 )
 def profile_rollup(spark, sf_dir):
     scored = _profiles(spark, sf_dir).withColumn("score", _score())
-    rounded = [F.round(c, 4).alias(c) for c in ("total_weight_g", "energy_kcal", "fat_g", "salt_g")]
-    return scored.select("item_id", *rounded, "score", scoring.grade(F.col("score")).alias("grade"))
+    values = [rounded(F.col(c), 4).alias(c) for c in ("total_weight_g", "energy_kcal", "fat_g", "salt_g")]
+    return scored.select("item_id", *values, "score", scoring.grade(F.col("score")).alias("grade"))
 
 
 @query(
