@@ -85,13 +85,13 @@ def substituted(lines: DataFrame, swaps: DataFrame, foods: DataFrame, item: str,
     return joined.select(*(values[c].alias(c) if c in values else F.col(c) for c in lines.columns), F.col("old__").alias("replaces"))
 
 
-def reprofiled(lines: DataFrame, item: str, weight: str, measures: Sequence[str], serves: DataFrame) -> DataFrame:
+def reprofiled(lines: DataFrame, item: str, weight: str, measures: Sequence[str], serves: DataFrame, order: str | None = None) -> DataFrame:
     """(item, total_weight_g, serves, and for each measure its total, {m}_per_100g and {m}_per_serving) of adapted lines.
 
     serves: (item, serves), one row each; none, null and 0 or less count as one serving. Items without weight have no
-    values for each 100 g.
+    values for each 100 g. order: of the sums, as in weighted_totals.
     """
-    totals = weighted_totals(lines, item, weight, measures).join(serves.select(item, "serves"), item, "left")
+    totals = weighted_totals(lines, item, weight, measures, order).join(serves.select(item, "serves"), item, "left")
     count = F.when(F.col("serves") > 0, F.col("serves").cast("double")).otherwise(1.0)
     per = [c for m in measures for c in (scoring.per_100g(F.col(m), F.col("total_weight_g")).alias(f"{m}_per_100g"), scoring.per_serving(F.col(m), F.col("serves")).alias(f"{m}_per_serving"))]
     return totals.withColumn("serves", count).select(item, "total_weight_g", "serves", *measures, *per)

@@ -52,7 +52,7 @@ n AS (SELECT l.item_id, position, coalesce(substitute, l.food_id) AS food_id, we
 
 
 def _substituted(spark, sf_dir):
-    rows, part = lines(spark, sf_dir), table(spark, sf_dir, "part")
+    rows, part = lines(spark, sf_dir, placed=True), table(spark, sf_dir, "part")
     heaviest = best_row(rows, ["item_id"], [F.desc("weight_g"), F.col("position"), F.col("food_id")]).select("item_id", "food_id")
     swaps = heaviest.join(_first(spark, sf_dir), "food_id")
     key = F.col("p_partkey")
@@ -78,8 +78,8 @@ def substituted_profiles(spark, sf_dir):
     serves = table(spark, sf_dir, "orders").select(key.alias("item_id"), (key % 6).alias("serves"))
     # rounded, as sums in another order may pass a threshold that they meet
     score = lambda: sum(scoring.points(F.round(F.col(f"{m}_per_100g") * f, 6), t) for m, f, t in zip(MEASURES, (scoring.KJ_PER_KCAL / 4, 1, 50), (scoring.ENERGY_KJ, scoring.SATURATED_G, scoring.SODIUM_MG)))
-    before = adapt.reprofiled(rows, "item_id", "weight_g", MEASURES, serves).select("item_id", score().alias("score_before"))
-    after = adapt.reprofiled(new, "item_id", "weight_g", MEASURES, serves).withColumn("score_after", score())
+    before = adapt.reprofiled(rows, "item_id", "weight_g", MEASURES, serves, "place").select("item_id", score().alias("score_before"))
+    after = adapt.reprofiled(new, "item_id", "weight_g", MEASURES, serves, "place").withColumn("score_after", score())
     found = swaps.join(after, "item_id").join(before, "item_id")
     grades = [scoring.grade(F.col(f"score_{x}")).alias(f"grade_{x}") for x in ("before", "after")]
     values = [steady(F.col("energy_kcal_per_serving"), 3).alias("kcal_per_serving"), steady(F.col("fat_g_per_100g"), 3).alias("fat_per_100g"), steady(F.col("salt_g"), 3).alias("salt_g")]
