@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mirepoix.functions import weight_rules as R
 from mirepoix.operators import weights
 from mirepoix.plans.registry import query
-from mirepoix.plans.tables import table
+from mirepoix.plans.tables import exact_sum, rounded, table
 
 #: What a food of the tables is made into, by its key: its own name, then one of these; with what each counts.
 FOODS = {
@@ -152,4 +152,4 @@ def weight_cascade(spark, sf_dir):
     offline = part.where("p_size = 1").select(name.alias("name"), F.lit("cup").alias("unit"), F.col("p_retailprice").alias("grams_per_unit"))
     ones = part.where("p_size = 2").select(name.alias("name"), (F.col("p_retailprice") / 10).alias("grams_per_unit"))
     rows = weights.weighed(_lines(spark, sf_dir), _portions(spark, sf_dir), offline, ones)
-    return rows.groupBy("match_type", "error", "confidence").agg(F.count("*").alias("n_lines"), F.round(F.sum("grams"), 1).alias("grams"))
+    return rows.groupBy("match_type", "error", "confidence").agg(F.count("*").alias("n_lines"), rounded(exact_sum(F.col("grams")), 1).alias("grams"))
