@@ -34,3 +34,11 @@ def test_statuses_and_their_outcomes(spark):
     asked = spark.createDataFrame([(1,), (1,), (2,), (9,), (None,)], "id int")
     got = {tuple(r) for r in merge.with_status(rows, asked, "id", "disabled", "new").collect()}
     assert got == {(1, "disabled", "new", "a", "updated"), (2, "disabled", "old", "b", "unchanged"), (3, "active", None, "c", "kept"), (None, "active", "r", "d", "kept"), (9, None, None, None, "not_found")}
+
+
+def test_deep_ancestors_take_few_rounds(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(graph, "checkpointed", lambda df, real=graph.checkpointed: rounds.append(1) or real(df))
+    got = graph.reachable(spark.createDataFrame([(i, i // 2 if i > 1 else 100) for i in range(1, 101)], "c int, p int"), "c", "p").collect()
+    assert len(got) == len({(r.desc, r.anc) for r in got}) and max(r.depth for r in got) == 12
+    assert len(rounds) <= 7  # edges, the first two distances, and up to 2, 4, 8, 16
