@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from mirepoix.functions import text as T
 from mirepoix.operators import postings
-from mirepoix.operators.scans import checkpointed
 from mirepoix.plans.registry import query
 from mirepoix.plans.tables import table
 
@@ -29,16 +28,15 @@ good AS (SELECT h.*, array_to_string(w, ' ') AS said FROM hits h JOIN queries US
 best AS (SELECT item_id, kind, doc_id, arg_max(field, (round(score, 9), field)) AS field, max(score) AS score FROM good GROUP BY ALL)"""
 
 
-def _found(spark, sf_dir):
+def _found(spark, sf_dir, kinds=postings.KINDS):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("heading"))
     w = F.col("w")
     forms = {"phrase": F.array_join(F.slice(w, 3, 4), " "), "phrase_prefix": F.concat_ws(" ", F.array_join(F.slice(w, 3, 3), " "), F.left(F.get(w, F.lit(5)), F.lit(2)))}
     forms |= dict.fromkeys(("and", "or"), F.concat_ws(" ", F.get(w, F.lit(0)), F.get(w, F.lit(3)), F.get(w, F.lit(7))))
     items = table(spark, sf_dir, "benchmark").select("item_id", T.words(F.col("text")).alias("w")).where("size(w) >= 8")
-    each = items.select("item_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), f.alias("text")) for k, f in forms.items()))).alias("q"))
+    each = items.select("item_id", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), f.alias("text")) for k, f in forms.items() if k in kinds))).alias("q"))
     queries = each.select(F.struct("item_id", "q.kind").alias("query_id"), "q.kind", "q.text")
-    index = checkpointed(postings.postings(docs, "doc_id", list(WEIGHTS)))  # written once, probed by every query
-    return docs, postings.search(index, queries, WEIGHTS)
+    return docs, postings.search(postings.postings(docs, "doc_id", list(WEIGHTS)), queries, WEIGHTS)
 
 
 @query("phrase_search", f"WITH {_SEARCH} SELECT item_id, kind, doc_id, field, floor(score * 10000 + 0.3) / 10000 AS score FROM best")
@@ -53,7 +51,7 @@ def phrase_search(spark, sf_dir):
 SELECT item_id, doc_id, field, array_to_string(list_concat(list_concat(w[greatest(first - 5, 1):first - 1], list_transform(w[first:first + 3], lambda x: '<em>' || x || '</em>')), w[first + 4:first + 8]), ' ') AS fragment FROM p""",
 )
 def phrase_fragments(spark, sf_dir):
-    docs, found = _found(spark, sf_dir)
-    phrases = found.where("query_id.kind = 'phrase'").join(docs, "doc_id")
+    docs, found = _found(spark, sf_dir, ["phrase"])
+    phrases = found.join(docs, "doc_id")
     words = T.words(F.when(F.col("field") == "text", F.col("text")).otherwise(F.col("heading")))
     return phrases.select("query_id.item_id", "doc_id", "field", postings.fragment(words, F.col("starts"), F.lit(4)).alias("fragment"))
