@@ -42,3 +42,11 @@ def test_nothing_to_find(spark):
     assert neighbours.nearest(one, none, 3, query_id="vec_id").collect() == []
     assert neighbours.nearest(none, one, 3, query_id="vec_id").collect() == []
     assert [tuple(r) for r in neighbours.nearest(one, one, 3, query_id="vec_id").collect()] == [(1, 1, 1.0, 1)]
+
+
+def test_routes_leave_in_blocks():
+    rows, at_row, cell = np.eye(3), np.repeat([0, 1, 2], 10), np.tile(np.arange(10), 3)
+    parts = list(neighbours._in_blocks(np.array([7, 8, 9]), rows, at_row, cell, 4))
+    assert max(map(len, parts)) == 4
+    got = [(q, int(np.argmax(v)), c) for p in parts for q, v, c in zip(p["query_id"], p["v"], p["cell"])]
+    assert got == [(7 + i, i, c) for i in range(3) for c in range(10)]
