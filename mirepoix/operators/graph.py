@@ -122,10 +122,17 @@ def repointed(edges: DataFrame, end: str, mapping: DataFrame, old: str, new: str
     return joined.withColumn(end, F.coalesce("new__", end)).drop("new__").select(edges.columns).distinct()
 
 
-def collisions(edges: DataFrame, item: str, end: str, mapping: DataFrame, old: str, new: str, k: int = 3) -> DataFrame:
-    """(old, new, n_items, examples): items with edges to both ends of a replacement, and the k smallest of them."""
-    pairs = edges.select(item, end).distinct()
-    both = mapping.select(old, new).join(pairs.select(item, F.col(end).alias(old)), old).join(pairs.select(item, F.col(end).alias(new)), [item, new])
+def collisions(edges: DataFrame, item: str, end: str, mapping: DataFrame, old: str, new: str, k: int = 3, parts: int | None = None) -> DataFrame:
+    """(old, new, n_items, examples): items with edges to both ends of a replacement, and the k smallest of them.
+
+    An edge meets the replacements that its end is in, as their old or their new; what has both is counted, without a
+    join of edges with edges. parts: into how many parts edges are dealt; without it, as the session says.
+    """
+    spread = lambda df, *keys: df.repartition(parts, *keys) if parts else df
+    pairs = mapping.select(old, new).distinct()
+    roles = pairs.select(F.col(old).alias(end), old, new, F.lit(1).alias("role__")).union(pairs.select(F.col(new), old, new, F.lit(2)))
+    met = spread(edges.select(item, end), end).join(roles.withColumnRenamed(end, "end__"), F.col(end) == F.col("end__")).select(item, old, new, "role__")
+    both = spread(met, item, old, new).groupBy(item, old, new).agg(F.bit_or("role__").alias("roles__")).where(f"roles__ = 3 and {item} is not null").drop("roles__")
     ranked = both.withColumn("nth__", F.row_number().over(W.partitionBy(old, new).orderBy(item)))
     return ranked.groupBy(old, new).agg(F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_list(F.when(F.col("nth__") <= k, F.col(item)))), ",").alias("examples"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mirepoix.operators import graph
 from mirepoix.plans.registry import query
-from mirepoix.plans.tables import table
+from mirepoix.plans.tables import parts, table
 
 
 def _foods(spark, sf_dir) -> DataFrame:
@@ -155,7 +155,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY "old" ORDER BY item_id) AS nth F
 )
 def replacement_collisions(spark, sf_dir):
     mapping = table(spark, sf_dir, "part").where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") + 1).alias("new"))
-    return graph.collisions(_foods(spark, sf_dir), "item_id", "food_id", mapping, "old", "new")
+    return graph.collisions(_foods(spark, sf_dir), "item_id", "food_id", mapping, "old", "new", parts=parts(spark, sf_dir, "lineitem"))
 
 
 @query("orphan_nodes", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45) AND p_partkey NOT IN (SELECT l_suppkey FROM lineitem)")
