@@ -40,7 +40,7 @@ def assembled(sheets: Sequence[tuple[str, DataFrame, Sequence[str]]], source: st
     return out.select(F.lit(source).alias("source"), F.col("code").cast("string").alias("code"), "food_name", "food_group", "column", "value", F.lit("").alias("unit"), F.lit(0).cast("long").alias("position"))
 
 
-def composite(rows: DataFrame, mapping: DataFrame, dropped: DataFrame, sums: Sequence[tuple[str, str, str]] = ()) -> DataFrame:
+def composite(rows: DataFrame, mapping: DataFrame, dropped: DataFrame, sums: Sequence[tuple[str, str, str]] = (), parts: int | None = None) -> DataFrame:
     """(id, food_name, source, food_group, nutrients): foods of all sources with a map of nutrient to (unit, value, source_code).
 
     rows: (source, code, food_name, food_group, column, value as text, unit, position); mapping: (source, column, key,
@@ -49,12 +49,14 @@ def composite(rows: DataFrame, mapping: DataFrame, dropped: DataFrame, sums: Seq
     the one of the largest nth counts, then of the largest position, column, value and unit. sums: (source, key,
     other): other is added to key where both are there in one unit, and stays. Vitamin A in international units is
     worked out from retinol and beta-carotene over what a source says. Foods without a name or any nutrient are left
-    out. id is source:code; a food's name and group are those of its least position.
+    out. id is source:code; a food's name and group are those of its least position. parts: into how many parts the
+    cells are dealt by food; without it, as the session says.
     """
     kept = rows.join(dropped.select("source", "food_group").distinct(), ["source", "food_group"], "left_anti").withColumn("value", measured(F.col("value")))
     named = mapping.where("key is not null and key != ''").select("source", "column", "key", F.nullif("unit", F.lit("")).alias("unit__"), "nth")
     unit = F.coalesce("unit__", F.trim(F.translate(F.coalesce("unit", F.lit("")), "µμ", "uu")))
-    cells = kept.where("value is not null").join(named, ["source", "column"]).withColumn("unit", unit)
+    cells = kept.where("value is not null").join(named, ["source", "column"]).select("source", "code", "key", "column", "value", unit.alias("unit"), "nth", "position", "food_name", "food_group")
+    cells = cells.repartition(parts, "source", "code") if parts else cells
     # a food's cells meet twice, first by key and then by food: both are bounded by the number of keys
     each = cells.groupBy("source", "code", "key").agg(
         F.max_by(F.struct("unit", "value", F.col("column").alias("source_code")), F.struct("nth", "position", "column", "value", "unit")).alias("cell"),

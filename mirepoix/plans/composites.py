@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mirepoix.operators import composite as C
 from mirepoix.plans.registry import query
-from mirepoix.plans.tables import steady, table
+from mirepoix.plans.tables import parts, steady, table
 
 SOURCES = ["fr", "uk", "nl"]
 MAPPING = [  # (column, key, unit, nth) of all sources; "uk" has no column 7
@@ -32,12 +32,13 @@ def _composite(spark, sf_dir):
     number = (F.col("l_quantity") / 4).cast("string")
     forms = [F.lit("Tr"), F.lit(" n/a"), F.lit("-"), F.concat(F.lit("< "), number), F.replace(number, F.lit("."), F.lit(","))]
     value = F.coalesce(F.try_element_at(F.array(*forms), (F.col("l_orderkey") % 11 + 1).cast("int")), number)
-    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+    n = parts(spark, sf_dir, "lineitem")
+    rows = line.repartition(n, "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.element_at(F.array(*map(F.lit, SOURCES)), (F.col("l_suppkey") % 3 + 1).cast("int")).alias("source"), F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("food_name"), F.col("p_brand").alias("food_group"),
         F.concat(F.lit("c"), "l_linenumber").alias("column"), value.alias("value"), F.lit("µg").alias("unit"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("position"),
     )
     mapping = spark.createDataFrame([(s, *m) for s in SOURCES for m in MAPPING if (s, m[0]) != ("uk", "c7")], "source string, column string, key string, unit string, nth int")
-    return C.composite(rows, mapping, spark.createDataFrame(DROPPED, "source string, food_group string"), [("nl", "Lutein + zeaxanthin", "Zeaxanthin")])
+    return C.composite(rows, mapping, spark.createDataFrame(DROPPED, "source string, food_group string"), [("nl", "Lutein + zeaxanthin", "Zeaxanthin")], n)
 
 
 @query("composite_foods", f"WITH {_CELLS} SELECT source || ':' || code AS id, food_name, source, food_group, k AS nutrient, unit, floor(value * 100 + 0.3) / 100 AS value, col AS source_code FROM allof")
