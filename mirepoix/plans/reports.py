@@ -10,7 +10,7 @@ from mirepoix.functions import scoring
 from mirepoix.operators import report
 from mirepoix.plans.nutrition import _sql_grade
 from mirepoix.plans.registry import query
-from mirepoix.plans.tables import LINES, REGIONS, SCORES, lines, regions, scores, steady, table
+from mirepoix.plans.tables import LINES, REGIONS, SCORES, lines, parts, regions, scores, steady, table
 
 
 @query(
@@ -137,7 +137,7 @@ SELECT flag, n, round(mean, 3) AS mean, round(q1, 3) AS q1, round(median, 3) AS
 )
 def tukey_outliers(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), (F.col("l_extendedprice") * F.when(F.col("l_partkey") % 97 == 0, 10).otherwise(1)).alias("v"))
-    found = report.outliers(rows, ["flag"], "v")
+    found = report.outliers(rows, ["flag"], "v", parts=parts(spark, sf_dir, "lineitem"))
     return found.select("flag", "n", *(F.round(c, 3).alias(c) for c in ("mean", "q1", "median", "q3", "high")), "n_outliers")
 
 
