@@ -80,3 +80,23 @@ def test_keys(spark):
     cases = {"Green Beans": "green bean", "fish_sauces": "fish sauce", "hummus": "hummus", "": "", "peaches": "peach"}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", intents.food_key(F.col("t")).alias("k")).collect()
     assert {r.t: r.k for r in rows} == cases
+
+
+def test_mentions_carry_no_texts_and_meet_many_foods_alike(spark):
+    rng = random.Random(8)
+    pieces = ["milk", "peanut butter", "butter", "eggs", "green beans", "fish sauces", "without", "no", "any", "and", "free", "with"]
+    texts = spark.createDataFrame([(i, " ".join(rng.choices(pieces, k=rng.randrange(0, 9)))) for i in range(200)], "id int, text string")
+    foods = spark.createDataFrame([(f,) for f in FOODS], "food string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few, many = intents.mentions(texts, foods), intents.mentions(texts, foods, few=0)
+        nodes = [many._jdf.queryExecution().optimizedPlan()]
+        while nodes:
+            node = nodes.pop()
+            children = [node.children().apply(i) for i in range(node.children().size())]
+            if node.nodeName() in ("Join", "Window"):
+                assert all("words#" not in c.output().mkString(" ") for c in children)
+            nodes += children
+        assert sorted(few.collect()) == sorted(many.collect()) != []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
