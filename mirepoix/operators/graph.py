@@ -32,6 +32,9 @@ def reachable(edges: DataFrame, child: str, parent: str) -> DataFrame:
     Each round doubles the distance: who is exactly k edges up is joined with who is up to k edges above that, and the
     pairs that no earlier round has are kept and written, once each. It ends when nobody is k edges up: as many rounds
     as the longest shortest path has binary digits. Null ends are no edges; no edges: no rows.
+
+    All joins are of sorted shuffles: both sides grow with the edges, and each one that is just small enough to be
+    broadcast would pass through the driver in every round, several times as large as its rows.
     """
     e = checkpointed(edges.select(F.col(child).alias("desc"), F.col(parent).alias("anc")).where("desc is not null and anc is not null").distinct())
     nodes = e.select("desc").union(e.select("anc")).distinct()
@@ -39,8 +42,8 @@ def reachable(edges: DataFrame, child: str, parent: str) -> DataFrame:
     last, k = found, 1
     while not (at_k := last.where(F.col("depth") == k)).isEmpty():
         above = found.where("depth > 0").select(F.col("desc").alias("mid"), F.col("anc").alias("top"), F.col("depth").alias("more"))
-        ahead = at_k.join(above, F.col("anc") == F.col("mid")).groupBy("desc", F.col("top").alias("anc")).agg((F.min("more") + k).alias("depth"))
-        last = checkpointed(ahead.join(found, ["desc", "anc"], "left_anti").select("desc", "anc", "depth"))
+        ahead = at_k.join(above.hint("merge"), F.col("anc") == F.col("mid")).groupBy("desc", F.col("top").alias("anc")).agg((F.min("more") + k).alias("depth"))
+        last = checkpointed(ahead.join(found.hint("merge"), ["desc", "anc"], "left_anti").select("desc", "anc", "depth"))
         found, k = found.union(last), 2 * k
     return found
 

@@ -42,3 +42,17 @@ def test_deep_ancestors_take_few_rounds(spark, monkeypatch):
     got = graph.reachable(spark.createDataFrame([(i, i // 2 if i > 1 else 100) for i in range(1, 101)], "c int, p int"), "c", "p").collect()
     assert len(got) == len({(r.desc, r.anc) for r in got}) and max(r.depth for r in got) == 12
     assert len(rounds) <= 7  # edges, the first two distances, and up to 2, 4, 8, 16
+
+
+def test_ancestors_are_found_without_broadcasts(spark, monkeypatch):
+    plans, write = [], graph.checkpointed
+
+    def written(df):
+        out = write(df)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())  # as it ran
+        return out
+
+    monkeypatch.setattr(graph, "checkpointed", written)
+    found = graph.reachable(spark.createDataFrame([(i, i // 2) for i in range(1, 40)], "c long, p long"), "c", "p")
+    assert found.where("desc = 39").orderBy("depth").select("anc").collect() == [(39,), (19,), (9,), (4,), (2,), (1,), (0,)]
+    assert sum("Join" in p for p in plans) == 3 and not any("Broadcast" in p for p in plans)
