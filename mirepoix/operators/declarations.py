@@ -19,13 +19,14 @@ def suitability(items: DataFrame, evidence: DataFrame, closed: DataFrame, item:
     items: (item, name), one row each, a null name as none; evidence: (item, allergen, sources), of which only those
     with a trusted source count; closed: (desc, anc, ...) of graph.reachable, whose desc are items: their own classes and all
     above. Of classes only those that rules name are gathered, so that a food's lists stay as short as the rules.
+    What is known of foods is as long as items, so it is joined by sorted shuffles, never broadcast through the driver.
     """
     wanted = sorted({r for rule in rules for r in (*rule.roots, *rule.good_roots)})
     trusted = F.arrays_overlap("sources", F.array(*map(F.lit, S.TRUSTED)))
     told = evidence.where(trusted & F.col("allergen").isNotNull()).groupBy(item).agg(F.sort_array(F.collect_set("allergen")).alias("allergens__"))
     above = closed.where(F.col("anc").cast("string").isin(wanted)).groupBy(F.col("desc").alias(item)).agg(F.sort_array(F.collect_set(F.col("anc").cast("string"))).alias("roots__"))
     none = F.array().cast("array<string>")
-    known = items.select(item, F.coalesce(name, F.lit("")).alias("name__")).join(told, item, "left").join(above, item, "left")
+    known = items.select(item, F.coalesce(name, F.lit("")).alias("name__")).join(told.hint("merge"), item, "left").join(above.hint("merge"), item, "left")
     known = known.select(item, "name__", F.coalesce("allergens__", none).alias("allergens__"), F.coalesce("roots__", none).alias("roots__"))
     verdicts = F.array_compact(F.array(*(S.verdict(rule, F.col("name__"), F.col("allergens__"), F.col("roots__")) for rule in rules)))
     return known.select(item, F.inline(verdicts))

@@ -39,7 +39,7 @@ def _verdicts(rule: S.Rule) -> str:
 def _evidence(spark, sf_dir, closed):
     roots = spark.createDataFrame(list(ROOTS.items()), "anc long, allergen string")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    found = closed.join(roots, "anc").select(F.col("desc").alias("node"), "allergen", F.col("anc").cast("string").alias("anc")).join(parts, "node", "left_semi")
+    found = closed.join(roots, "anc").select(F.col("desc").alias("node"), "allergen", F.col("anc").cast("string").alias("anc")).join(parts.hint("merge"), "node", "left_semi")
     source = F.when(F.col("node") % 4 == 0, "keyword").otherwise("taxonomy")
     return found.groupBy("node", "allergen").agg(F.sort_array(F.collect_set("anc")).alias("classes")).select("node", "allergen", F.array(source).alias("sources"), "classes", F.array("allergen").alias("terms"))
 

@@ -57,7 +57,7 @@ def allergen_evidence_merged(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.concat_ws(" ", "p_name", _food("p_partkey")).alias("name"))
     known = _closed(spark, sf_dir).join(roots, "anc").select(F.col("desc").alias("node"), "label", F.lit("taxonomy").alias("source"), F.col("anc").cast("string").alias("term"))
     told = part.select("node", "name", F.explode(F.array_intersect(R.allergens(F.col("name")), F.array(*map(F.lit, _KEYWORDS)))).alias("label")).select("node", "label", F.lit("keyword").alias("source"), F.col("name").alias("term"))
-    merged = graph.merged_evidence(known.join(part.select("node"), "node", "left_semi"), told)
+    merged = graph.merged_evidence(known.join(part.select("node").hint("merge"), "node", "left_semi"), told)
     return merged.select("node", "label", F.array_join("sources", ",").alias("sources"), F.array_join("terms", "; ").alias("terms"))
 
 

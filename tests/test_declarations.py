@@ -1,3 +1,8 @@
+import re
+
+import pytest
+
+from mirepoix.catalog import QUERIES
 from mirepoix.functions import suitability as S
 from mirepoix.operators import declarations, graph
 from mirepoix.sources import readers
@@ -48,3 +53,11 @@ def test_declarations_follow_their_evidence(spark):
         (1, "milk", "v1"): (id_(1, "milk"), "unchanged", ["taxonomy"], [], "then", "then", 5), (2, "milk", "v1"): (id_(2, "milk"), "updated", ["taxonomy"], ["new"], "then", "now", 5), (3, "egg", "v1"): (id_(3, "egg"), "stale", ["taxonomy"], [], "then", "then", 5),
         (4, "egg", "v1"): (id_(4, "egg"), "kept", ["taxonomy"], [], "then", "then", 5), (1, "milk", "v0"): (id_(1, "milk", "v0"), "kept", ["taxonomy"], [], "then", "then", 5), (9, "soy", "v1"): (id_(9, "soy"), "created", ["legacy"], [], "now", "now", None),
     }
+
+
+@pytest.mark.parametrize("query", ["group_suitability", "declaration_outcomes", "allergen_evidence_merged"])
+def test_what_is_as_long_as_the_foods_is_not_broadcast(spark, query):
+    found = QUERIES[query](spark, "/root/testdata/sf0.001")
+    found.collect()
+    joins = re.findall(r"(\w+Join) .*(LeftOuter|LeftSemi)", found._jdf.queryExecution().executedPlan().toString())  # as it ran
+    assert joins and {kind for kind, _ in joins} == {"SortMergeJoin"}
