@@ -103,14 +103,23 @@ def _shared(desc: Column, name: Column) -> Column:
     return F.size(F.array_intersect(stems(desc), stems(name)))
 
 
-def food_portions(wanted: DataFrame, portions: DataFrame) -> DataFrame:
-    """(name, unit, food_id, portion_desc, grams_per_unit): for each wanted (food_id, name, unit) its food's portion of that unit.
+def food_portions(portions: DataFrame) -> DataFrame:
+    """(food_id, own, portion_density): a row a food with its portions (unit, portion_desc, grams_per_unit) and the median of grams a millilitre.
 
-    Of several the one whose description shares most words with the name, then the first by description.
+    Of portions with the same unit and description the least grams count, so a list is as long as a food's descriptions.
     """
-    rows = wanted.select("food_id", "name", "unit").distinct().join(normal_portions(portions).drop("food_name"), ["food_id", "unit"])
-    best = F.min(F.struct((-_shared(F.col("portion_desc"), F.col("name"))).alias("less"), "portion_desc", "grams_per_unit")).alias("best")
-    return rows.groupBy("food_id", "name", "unit").agg(best).select("food_id", "name", "unit", "best.portion_desc", "best.grams_per_unit")
+    rows, ml = normal_portions(portions).where("food_id is not null"), literal_map(R.VOLUME_ML)
+    least = rows.groupBy("food_id", "unit", "portion_desc").agg(F.min("grams_per_unit").alias("grams_per_unit"))
+    own = least.groupBy("food_id").agg(F.collect_list(F.struct("unit", "portion_desc", "grams_per_unit")).alias("own"))
+    in_ml = rows.where(F.col("unit").isin(list(R.VOLUME_ML)))
+    return own.join(in_ml.groupBy("food_id").agg(F.percentile(F.col("grams_per_unit") / ml[F.col("unit")], 0.5).alias("portion_density")).hint("merge"), "food_id", "left")
+
+
+def own_portion(own: Column, unit: Column, name: Column) -> Column:
+    """Grams of a unit by a food's own portions; of several the one whose description shares most words with the name, then the first by description."""
+    fits = F.filter(own, lambda p: p["unit"] == unit)
+    ranked = lambda ps: F.array_min(F.transform(ps, lambda p: F.struct((-_shared(p["portion_desc"], name)).alias("less"), p["portion_desc"], p["grams_per_unit"].alias("g"))))["g"]
+    return T.once(fits, lambda ps: F.when(F.size(ps) > 1, ranked(ps)).otherwise(F.get(ps, F.lit(0))["grams_per_unit"]))
 
 
 def portion_search(wanted: DataFrame, portions: DataFrame) -> DataFrame:
@@ -186,10 +195,11 @@ def weighed(lines: DataFrame, portions: DataFrame, offline: DataFrame, unit_gram
     grams_per_unit), the name lower-cased; unit_grams: (name, grams_per_unit), what one of an ingredient weighs. Both
     have a row a key, of repeated keys the least grams count. herb: whether the food is known to be a spice or herb.
 
-    Each distinct (name, measurement, food_id, herb) is worked out once and joined back. Null names and measurements
-    are empty; no lines: no rows.
+    What a line's texts tell is worked out once for each distinct (name, measurement, herb) with or without a food, the
+    search by name included, and joined back. Only lines that no step settles by then meet their food's own portions.
+    Null names and measurements are empty; no lines: no rows.
     """
-    given = ["name", "measurement", "food_id", "herb"]
+    given = ["name", "measurement", "herb", "some_food"]
     raw, food = F.coalesce("measurement", F.lit("")), F.coalesce("name", F.lit(""))
     size = F.nullif(F.regexp_extract(F.lower(raw), r"\b(small|medium|large)\b", 1), F.lit(""))
     taste = F.trim(F.lower(raw)).isin("to taste", "as needed", "optional", "garnish", "to serve")
@@ -197,7 +207,7 @@ def weighed(lines: DataFrame, portions: DataFrame, offline: DataFrame, unit_gram
         "measurement": {"q": T.quantity(raw), "u": unit_of(raw), "size": size, "taste": taste},
         "name": {"key": F.lower(F.trim(food)), "counted": counted_in(food), "density": liquid_density(food), "pinch": _pinch_default(food), "powder": F.lower(food).contains("powder")},
     }
-    signatures = lines.select(*given).distinct()
+    signatures = checkpointed(lines.select("name", "measurement", "herb", F.col("food_id").isNotNull().alias("some_food")).distinct())
     for column, parts in read_once.items():  # texts repeat far more than signatures do
         texts = signatures.select(F.col(column).alias("text__")).distinct().withColumnRenamed("text__", column)
         parsed = texts.select(F.col(column).alias("text__"), F.inline(F.array(F.struct(*(value.alias(part) for part, value in parts.items())))))
@@ -211,14 +221,10 @@ def weighed(lines: DataFrame, portions: DataFrame, offline: DataFrame, unit_gram
     vetted = least(offline, ["name", "unit"]).select(F.col("name").alias("key"), "unit", F.col("g").alias("offline_g"))
     ones = least(unit_grams, ["name"]).select(F.col("name").alias("key"), F.col("g").alias("one_g"))
     rules = reference_grams(read, size="size").select("name", "unit", F.coalesce("size", F.lit("")).alias("size_key"), F.col("unit_grams").alias("rule_g"))
-    own = food_portions(read.withColumn("name", F.col("key")), portions).select("food_id", F.col("name").alias("key"), "unit", F.col("grams_per_unit").alias("portion_g"))
     ml = literal_map(R.VOLUME_ML)
-    in_ml = normal_portions(portions).where(F.col("unit").isin(list(R.VOLUME_ML)))
-    densities = in_ml.groupBy("food_id").agg(F.percentile(F.col("grams_per_unit") / ml[F.col("unit")], 0.5).alias("portion_density"))
     joined = read.withColumn("size_key", F.coalesce("size", F.lit(""))).join(vetted, ["key", "unit"], "left").join(ones, "key", "left").join(rules, ["name", "unit", "size_key"], "left")
-    joined = joined.join(own, ["food_id", "key", "unit"], "left").join(densities, "food_id", "left")
 
-    q, u, some_food = F.col("qty"), F.col("unit"), F.col("food_id").isNotNull()
+    q, u, some_food = F.col("qty"), F.col("unit"), F.col("some_food")
     package = F.when(u.isin(R.PACKAGES.split()) | F.col("measurement").rlike(r"\d\s*x\s*\d"), M.package_grams(F.concat_ws(" ", F.col("measurement"), F.col("name"))))
     density = F.col("density")
     steps = {
@@ -233,21 +239,27 @@ def weighed(lines: DataFrame, portions: DataFrame, offline: DataFrame, unit_gram
         "pinch_default_missing_quantity_fallback": F.when(q.isNull() & (F.col("pinch") | F.col("herb")), R.PINCH_G),
         "herb_pinch_fallback": F.when(some_food & F.col("no_unit") & (F.col("herb") | F.col("powder")), q * R.PINCH_G),
         "unit_grams_fallback": F.when(some_food & F.col("no_unit"), q * F.col("one_g")),
-        "direct": F.when(some_food, q * F.col("portion_g")),
-        "density_fallback": F.when(some_food, q * ml[u] * F.col("portion_density")),
     }
-    kept = [*given, "qty", "unit", "inferred"]
-    tried = joined.select(*kept, F.inline(F.array(F.struct(*(value.cast("double").alias(step) for step, value in steps.items())))))
-    choice = F.coalesce(*(F.when(F.col(step).isNotNull(), step) for step in steps))
-    chosen = checkpointed(tried.select(*kept, F.coalesce(*steps).alias("grams"), choice.alias("match_type")))  # the search reads it again and again
-    error = F.when(F.col("food_id").isNull(), "missing_food").when(q.isNull(), "missing_quantity").when(u.isNull(), "missing_unit")
-    open_ = chosen.where("match_type is null").withColumn("error", error)
-    by_name = portion_search(open_.where("error is null"), portions).select(F.col("name").alias("key"), "unit", F.col("grams_per_unit").alias("named_g"))
-    last = open_.withColumn("key", F.lower(F.trim("name"))).join(by_name, ["key", "unit"], "left")
-    named = F.col("error").isNull() & F.col("named_g").isNotNull()
-    closed = last.select(*kept, F.when(named, q * F.col("named_g")).alias("grams"), F.when(named, "weight_name_portion_fallback").alias("match_type"), F.when(~named, F.coalesce("error", F.lit("no_portion"))).alias("error"))
-    solved = chosen.where("match_type is not null").withColumn("error", F.lit(None).cast("string")).union(closed)
-    sure = F.greatest(F.lit(0.0), F.coalesce(literal_map(CONFIDENCE)[F.col("match_type")], F.lit(0.0)) - F.when(F.col("inferred"), 0.15).otherwise(0.0))
-    result = solved.select(*(F.col(c).alias(f"weighed__{c}") for c in given), "qty", "unit", "grams", "match_type", "error", F.round(sure, 2).alias("confidence"))
-    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"weighed__{c}")) for c in given))
-    return lines.join(result, same).drop(*(f"weighed__{c}" for c in given))
+    first = lambda of: (F.coalesce(*of.values()), F.coalesce(*(F.when(value.isNotNull(), step) for step, value in of.items())))
+    tried = joined.select(*given, "key", "qty", "unit", "inferred", (q * ml[u]).alias("in_ml"), F.inline(F.array(F.struct(*(value.cast("double").alias(step) for step, value in steps.items())))))
+    grams, choice = first({step: F.col(step) for step in steps})
+    error = F.when(choice.isNull(), F.when(~some_food, "missing_food").when(q.isNull(), "missing_quantity").when(u.isNull(), "missing_unit"))
+    chosen = checkpointed(tried.select(*given, "key", "qty", "unit", "inferred", "in_ml", grams.alias("grams"), choice.alias("match_type"), error.alias("error")))  # the search reads it again and again
+
+    sure = lambda match_type, inferred: F.round(F.greatest(F.lit(0.0), F.coalesce(literal_map(CONFIDENCE)[match_type], F.lit(0.0)) - F.when(inferred, 0.15).otherwise(0.0)), 2)
+    names = [F.col(c).alias(f"weighed__{c}") for c in given]
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"weighed__{c}")) for c in given[:3])) & (F.col("food_id").isNotNull() == F.col("weighed__some_food"))
+    found = ["qty", "unit", "grams", "match_type", "error", "confidence"]
+    settled = "match_type is not null or error is not null"
+    solved = lines.join(chosen.where(settled).select(*names, "qty", "unit", "grams", "match_type", "error", sure(F.col("match_type"), F.col("inferred")).alias("confidence")), same)
+
+    open_ = chosen.where(f"not ({settled})")
+    by_name = portion_search(open_.select("name", "unit"), portions).select(F.col("name").alias("key"), "unit", F.col("grams_per_unit").alias("weighed__named"))
+    open_ = open_.join(by_name, ["key", "unit"], "left").select(*names, F.col("key").alias("weighed__key"), "qty", "unit", F.col("inferred").alias("weighed__inferred"), F.col("in_ml").alias("weighed__ml"), "weighed__named")
+    foods = food_portions(portions).toDF("weighed__food", "weighed__own", "weighed__density")
+    met = lines.join(open_, same).join(foods.hint("merge"), F.col("food_id") == F.col("weighed__food"), "left")
+    last = {"direct": q * own_portion(F.col("weighed__own"), u, F.col("weighed__key")), "density_fallback": F.col("weighed__ml") * F.col("weighed__density"), "weight_name_portion_fallback": q * F.col("weighed__named")}
+    met = met.withColumns({f"weighed__{step}": value for step, value in last.items()})
+    grams, choice = first({step: F.col(f"weighed__{step}") for step in last})
+    met = met.withColumns({"grams": grams, "match_type": choice, "error": F.when(choice.isNull(), "no_portion"), "confidence": sure(choice, F.col("weighed__inferred"))})
+    return solved.select(*lines.columns, *found).union(met.select(*lines.columns, *found))

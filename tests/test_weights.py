@@ -108,3 +108,21 @@ def test_units_of_portions(spark):
     cases = {"cup elbows": "cup", "1 fl oz": "fluid ounce", "2 Tbsp.": "tablespoon", "slice (28 g)": "slice", "0.5 lbs": "pound", "": ""}
     rows = spark.createDataFrame([(k,) for k in cases], "d string").select("d", weights.portion_unit(F.col("d")).alias("u")).collect()
     assert {r.d: r.u for r in rows} == cases
+
+
+def test_texts_are_worked_out_once_however_many_foods_they_are_of(spark, monkeypatch):
+    written, write = [], weights.checkpointed
+    monkeypatch.setattr(weights, "checkpointed", lambda df: written.append(write(df)) or written[-1])
+    lines = [(name, measurement, str(food), False) for name, measurement in (("salt", "to taste"), ("raw carrot coins", "2 slices")) for food in range(1, 41)]
+    empty = [spark.createDataFrame([], s) for s in ("name string, unit string, grams_per_unit double", "name string, grams_per_unit double")]
+    rows = weights.weighed(spark.createDataFrame(lines, "name string, measurement string, food_id string, herb boolean"), spark.createDataFrame(FOODS, PORTIONS), *empty).collect()
+    assert len(rows) == 80 and {(r.food_id, r.match_type) for r in rows if r.grams == 6.0} == {("2", "direct")}
+    assert written and all(df.count() == 2 for df in written)
+
+
+def test_a_food_has_several_portions_of_a_unit(spark):
+    portions = [("1", "Rice", "cup, dry", 1.0, 185.0, None), ("1", "Rice", "cup, cooked", 1.0, 158.0, None), ("1", "Rice", "cup, cooked", 1.0, 150.0, None), ("1", "Rice", "pack", 1.0, 500.0, None), (None, "Rice", "cup", 1.0, 1.0, None)]
+    food = weights.food_portions(spark.createDataFrame(portions, PORTIONS)).collect()
+    assert [(r.food_id, len(r.own)) for r in food] == [("1", 3)] and food[0].portion_density == pytest.approx(158.0 / 240)
+    wanted = weights.food_portions(spark.createDataFrame(portions, PORTIONS)).select(*(weights.own_portion(F.col("own"), F.lit(u), F.lit(n)).alias(f"g{i}") for i, (u, n) in enumerate([("cup", "dry rice"), ("cup", "rice"), ("pack", "rice"), ("slice", "rice")])))
+    assert tuple(wanted.first()) == (185.0, 150.0, 500.0, None)
