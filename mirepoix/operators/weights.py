@@ -152,7 +152,7 @@ def portion_search(wanted: DataFrame, portions: DataFrame) -> DataFrame:
 
 
 def _best_portion(met: DataFrame, foods: DataFrame) -> DataFrame:
-    rows = met.join(foods, ["food_key", "unit"])
+    rows = met.join(foods.hint("merge"), ["food_key", "unit"])  # foods grow; broadcast, they'd pass through the driver
     order = F.struct("tier", F.when(F.col("tier") > 1, F.length("food_key")).otherwise(0).alias("long"), "food_id", (-_shared(F.col("portion_desc"), F.col("key"))).alias("less"), "portion_desc", "food_name", "grams_per_unit")
     best = rows.groupBy("key", "unit").agg(F.min(order).alias("best"))
     return best.select("key", "unit", "best.tier", "best.food_name", "best.food_id", "best.portion_desc", "best.grams_per_unit")

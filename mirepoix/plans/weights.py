@@ -36,7 +36,7 @@ _LINE = f"""line AS (SELECT p_name || CASE WHEN l_linenumber = 7 THEN '' ELSE '
 def _lines(spark, sf_dir):
     """(name, measurement, food_id, herb): a line for each of the tables', in ten forms of measurement; a third knows no food."""
     line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    rows = line.join(part.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))  # foods grow with their lines: not broadcast
     kind, q = (F.col("l_suppkey") + F.col("l_linenumber")) % 10, F.col("l_quantity").cast("int").cast("string")
     forms = [F.lit("") if k == 3 else F.lit(m) if k == 4 else F.concat(q, F.lit(m)) for k, m in enumerate(MEASURES)]
     measurement = F.element_at(F.array(*forms), (kind + 1).cast("int"))
